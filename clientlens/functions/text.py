@@ -170,7 +170,7 @@ def templated(template: str, *cols) -> Column:
 
 def whole_number_text(c) -> Column:
     """Number → text without a trailing ``.0`` (PRJ-02)."""
-    return F.round(col_(c).cast("double")).cast("bigint").cast("string")
+    return F.round(col_(c).cast("decimal(38,10)"), 0).cast("bigint").cast("string")
 
 
 def record_json(*cols) -> Column:

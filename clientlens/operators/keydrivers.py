@@ -82,11 +82,15 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
                  F.count(F.when(label.isNotNull(), 1)).alias("_n"),
                  F.min(m).alias("_min")))
 
-    # 3) population totals: one struct-valued scalar subquery over the leaf
-    #    cells (computed once, no cross join, no unpartitioned window).
-    tot = leaf.agg(F.struct(F.sum("_mi").alias("ti"), F.sum("_mr").alias("tr"), F.min("_min").alias("mn"),
-                            F.sum(F.abs(F.col("_mi") - F.col("_mr"))).alias("abs_leaf")).alias("t")).scalar()
-    ti, tr, mn, abs_leaf = _dbl(tot["ti"]), _dbl(tot["tr"]), tot["mn"], _dbl(tot["abs_leaf"])
+    # 3) population totals: a one-row global aggregate over the leaf cells,
+    #    attached below by a broadcast hash join on a constant aggregate key
+    #    (size bound: exactly one row).  Being in the same plan as the
+    #    grouping sets, the leaf exchange is reused and the input is scanned
+    #    once; a scalar subquery would be planned apart and rescan it.
+    tot = leaf.agg(F.sum("_mi").alias("_ti"), F.sum("_mr").alias("_tr"), F.min("_min").alias("_mn"),
+                   F.sum(F.abs(F.col("_mi") - F.col("_mr"))).alias("_abs_leaf"),
+                   F.sum("_n").alias("_rows"), F.max(F.lit(1)).alias("_one"))
+    ti, tr, mn, abs_leaf = _dbl(F.col("_ti")), _dbl(F.col("_tr")), F.col("_mn"), _dbl(F.col("_abs_leaf"))
 
     # 2) grouping sets over leaf cells ---------------------------------------------
     #    min/max/null flags of every dimension inside each group tell whether
@@ -100,6 +104,7 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
                         F.min(F.col(c).isNull().cast("int")).alias(f"_allnull{j}")]
     cube = (leaf.groupingSets(sets, *dims)
             .agg(F.sum("_mi").alias("_mi"), F.sum("_mr").alias("_mr"), F.sum("_n").alias("_n"),
+                 F.min("_min").alias("_min"), F.max(F.lit(1)).alias("_one"),
                  *[F.grouping(c).alias(f"_g{j}") for j, c in enumerate(dims)], *fd_aggs))
     is_set = [F.col(f"_g{j}") == 0 for j in range(d)]
     mask = sum((F.when(is_set[j], F.lit(1 << j)).otherwise(F.lit(0)) for j in range(d)), F.lit(0))
@@ -111,22 +116,29 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
     #    such children; one anti-join removes them.  Orders are within
     #    max_order, so only parents below max_order emit.
     if enable_pruning:
-        cand = []
+        # One pass, no self-join: every row emits its own key (kind 0) and
+        # the keys of its redundant children (kind 1); a group with a kind-1
+        # record is dropped.  Null-safe by construction (groupBy groups NULLs).
+        dtypes = [df.schema[c].dataType for c in dims]
+        order = sum((is_set[j].cast("int") for j in range(d)), F.lit(0))
+        recs = [F.struct(F.lit(0).alias("kind"), F.col("_mask").alias("kmask"),
+                         *[F.col(c).cast(dtypes[i]).alias(f"k{i}") for i, c in enumerate(dims)])]
         for j, c in enumerate(dims):
             const = F.when(F.col(f"_allnull{j}") == 1, F.lit(True)).otherwise(
                 (F.col(f"_anynull{j}") == 0) & (F.col(f"_lo{j}") == F.col(f"_hi{j}")))
             value = F.when(F.col(f"_allnull{j}") == 1, F.lit(None)).otherwise(F.col(f"_lo{j}"))
-            cand.append(F.when(~is_set[j] & const, F.struct(
-                (F.col("_mask") + F.lit(1 << j)).alias("_kmask"),
-                *[(value if i == j else F.col(ci)).cast(df.schema[ci].dataType).alias(f"_k{i}")
-                  for i, ci in enumerate(dims)])))
-        order = sum((is_set[j].cast("int") for j in range(d)), F.lit(0))
-        redundant = (cube.filter(order < max_order)
-                     .select(F.explode(F.filter(F.array(*cand), lambda x: x.isNotNull())).alias("_k"))
-                     .select("_k.*"))
-        key = [cube["_mask"] == redundant["_kmask"]] + [cube[c].eqNullSafe(redundant[f"_k{i}"])
-                                                        for i, c in enumerate(dims)]
-        cube = cube.join(redundant, key, "left_anti")
+            recs.append(F.when(~is_set[j] & const & (order < max_order), F.struct(
+                F.lit(1).alias("kind"), (F.col("_mask") + F.lit(1 << j)).alias("kmask"),
+                *[(value if i == j else F.col(ci)).cast(dtypes[i]).alias(f"k{i}") for i, ci in enumerate(dims)])))
+        payload = F.struct(*[F.col(x) for x in cube.columns if not x.startswith(("_lo", "_hi", "_anynull", "_allnull"))])
+        keyed = (cube.select(payload.alias("_row"), F.explode(F.filter(F.array(*recs), lambda x: x.isNotNull())).alias("_k"))
+                 .select(F.when(F.col("_k.kind") == 0, F.col("_row")).alias("_row"), "_k.*"))
+        cube = (keyed.groupBy("kmask", *[f"k{i}" for i in range(d)])
+                .agg(F.max("kind").alias("_killed"), F.first("_row", ignorenulls=True).alias("_row"))
+                .filter((F.col("_killed") == 0) & F.col("_row").isNotNull())
+                .select("_row.*"))
+
+    cube = cube.join(F.broadcast(tot), "_one")
 
     # formulas ----------------------------------------------------------------------------
     mi, mr = _dbl(F.col("_mi")), _dbl(F.col("_mr"))
@@ -156,6 +168,8 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
         _div(F.abs(diff), abs_leaf).alias("contribution"),
         checked.alias("apriori_support"),
         F.size(tokens).alias("_order"),
+        ti.alias("population_interest"),
+        tr.alias("population_reference"),
     )
     if min_apriori_support is not None:
         out = out.filter((F.col("_order") == 0) | (F.col("apriori_support") >= F.lit(float(min_apriori_support))))
@@ -166,7 +180,8 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
                .orderBy(F.col("apriori_support").desc_nulls_last(), F.array_join("drivers", "|"))
                .limit(top_k))
         out = out.filter(F.col("_order") == 0).unionByName(seg)
-    return out.select(*OUTPUT_COLUMNS, F.col("_order").alias("n_dimensions"))
+    return out.select(*OUTPUT_COLUMNS, F.col("_order").alias("n_dimensions"),
+                      "population_interest", "population_reference")
 
 
 def flow_drivers_input(clients: DataFrame, flows: DataFrame, as_of: str, recent_months: int = 6,

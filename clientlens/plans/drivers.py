@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.numeric import rnd
 from ..functions.text import kv_label, parse_kv_tokens
 from ..operators.canonical import AS_OF, Client360
-from ..operators.keydrivers import KD_DIMS, KD_METRICS, KD_PARAMS, flow_drivers_input, key_drivers
+from ..operators.keydrivers import OUTPUT_COLUMNS, KD_DIMS, KD_METRICS, KD_PARAMS, flow_drivers_input, key_drivers
 
 
 def key_drivers_table(c: Client360, metric: str = "nna", as_of: str = AS_OF, **overrides) -> DataFrame:
@@ -22,7 +22,7 @@ def key_drivers_table(c: Client360, metric: str = "nna", as_of: str = AS_OF, **o
 
 def flatten_drivers(kd: DataFrame) -> DataFrame:
     """``drivers`` array → ``; ``-joined text (for tabular comparison)."""
-    return kd.withColumn("drivers", F.array_join("drivers", "; "))
+    return kd.select(F.array_join("drivers", "; ").alias("drivers"), *OUTPUT_COLUMNS[1:], "n_dimensions")
 
 
 def key_drivers_view(c: Client360, metric: str = "nna", n: int = 12, as_of: str = AS_OF) -> DataFrame:
@@ -33,8 +33,7 @@ def key_drivers_view(c: Client360, metric: str = "nna", n: int = 12, as_of: str
     """
     _, _, favourable = KD_METRICS[metric]
     kd = key_drivers_table(c, metric, as_of)
-    pop = kd.filter(F.col("n_dimensions") == 0).select(
-        F.struct(F.col("metric_interest").alias("pi"), F.col("metric_reference").alias("pr")).alias("p")).scalar()
+    pop = {"pi": F.col("population_interest"), "pr": F.col("population_reference")}
     top = (kd.filter(F.col("n_dimensions") > 0)
            .orderBy(F.abs("unexpected_difference").desc(), F.array_join("drivers", "|"))
            .limit(n))  # the top-n list is the feature

@@ -118,6 +118,39 @@ FROM part""", []),
 }
 
 
+CTES["portfolios"] = (f"""
+SELECT {cli('o_custkey')} AS client_id, o_custkey AS client_key,
+       {case_map('o_orderpriority', ACCOUNT_TYPE_BY_PRIORITY, 'unmapped')} AS mandate_type,
+       o_totalprice AS market_value_usd
+FROM orders""", [])
+CTES["households"] = ("""
+SELECT m.household_id, m.household_id AS address_key, CAST(m.member_count AS INTEGER) AS member_count,
+       CAST(m.aum AS DOUBLE) AS total_aum_usd, coalesce(l.lines_held, '') AS lines_held
+FROM (SELECT household_id, COUNT(*) AS member_count, SUM(CAST(total_aum_usd AS DECIMAL(18,2))) AS aum
+      FROM clients WHERE NOT starts_with(household_id, 'HH_SOLO_') GROUP BY household_id) m
+LEFT JOIN (SELECT household_id, string_agg(account_type, '|' ORDER BY account_type) AS lines_held
+           FROM (SELECT DISTINCT c.household_id, a.account_type FROM clients c JOIN accounts a ON a.client_key = c.client_key
+                 WHERE NOT starts_with(c.household_id, 'HH_SOLO_')) d GROUP BY household_id) l
+  ON l.household_id = m.household_id""", ["clients", "accounts"])
+# (me)-[BELONGS_TO]->(h)<-[BELONGS_TO]-(mate)-[HOLDS]->(a), written as the literal path join.
+CTES["mate_products"] = ("""
+SELECT me.client_key, me.client_id, a.account_type AS product, COUNT(*) AS signal
+FROM clients me JOIN households h ON me.household_id = h.household_id
+JOIN clients mate ON mate.household_id = h.household_id
+JOIN accounts a ON a.client_key = mate.client_key
+GROUP BY me.client_key, me.client_id, a.account_type""", ["clients", "households", "accounts"])
+
+
+def R(x: str, n: int) -> str:
+    """Engine-stable rounding (same as the Spark helper ``rnd``)."""
+    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,10)), {n}) AS DOUBLE)"
+
+
+def initcap(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
+
+
 def ts_cte(metric: str) -> str:
     amt = f"CAST(o.o_totalprice AS {MONEY})"
     v = {"aum": amt, "revenue": amt,
@@ -162,4 +195,4 @@ def dbl_div(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE ({a}) / ({b}) END)"
 
 
-__all__ = ["with_", "CTES", "AS_OF", "q", "case_map", "pick", "months_before_sql", "dbl_div", "MONEY"]
+__all__ = ["R", "initcap", "with_", "CTES", "AS_OF", "q", "case_map", "pick", "months_before_sql", "dbl_div", "MONEY"]
