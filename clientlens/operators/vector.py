@@ -31,11 +31,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import l2_normalize
+from ..session import spread
 
 PAIR_SCHEMA = "query_id long, neighbor_id long, distance double"
 DIST_DP = 6
@@ -79,7 +81,12 @@ class CellIndex:
                  seed: int = 42, train_fraction: float | None = None):
         self.spark = base.sparkSession
         self.block = block
-        b = base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+        # The base rows feed the k-means fit, the cell statistics and every
+        # probe round: persist them once (lineage-backed, so a lost executor
+        # recomputes its blocks).  ``release()`` frees them.
+        b = spread(base.select(F.col(id_col).cast("long").alias("id"),
+                               F.col(vec_col).cast("array<float>").alias("vec")), "id").persist(StorageLevel.MEMORY_AND_DISK)
+        self._persisted = [b]
         unit = b.select("id", "vec", array_to_vector(l2_normalize("vec")).alias("uvec"))
         train = unit if not train_fraction else unit.sample(fraction=train_fraction, seed=seed)
         model = KMeans(k=n_cells, seed=seed, featuresCol="uvec", maxIter=20).fit(train)
@@ -87,7 +94,8 @@ class CellIndex:
         self.dim = cents.shape[1]
         self.centroids = cents
         self._bc = self.spark.sparkContext.broadcast(cents)
-        self.base = self._assign(b)
+        self.base = self._assign(b).persist(StorageLevel.MEMORY_AND_DISK)
+        self._persisted.append(self.base)
         stats = (self.base.groupBy("cell").agg(F.max("dcell").alias("radius"), F.count("*").alias("n"))
                  .collect())  # one row per cell: bounded by n_cells
         self.radius = np.zeros(len(cents))
@@ -99,6 +107,10 @@ class CellIndex:
         nblk = F.element_at(F.array(*[F.lit(int(x)) for x in self.nblk]), F.col("cell") + 1)
         self.base = self.base.withColumn("bblk", F.pmod(F.xxhash64("id"), nblk).cast("int"))
 
+    def release(self) -> None:
+        for d in self._persisted:
+            d.unpersist()
+
     def _assign(self, df: DataFrame) -> DataFrame:
         bc = self._bc
 
@@ -191,8 +203,8 @@ def vector_search(base: DataFrame, query: DataFrame, top_k: int = 5, id_col: str
     ``exact=False`` is the IVF search over the ``n_probe`` nearest cells.
     """
     idx = index or CellIndex(base, id_col, vec_col, n_cells=n_cells, block=block)
-    q = query.select(F.col(query_id_col or id_col).cast("long").alias("qid"),
-                     F.col(query_vec_col or vec_col).alias("vec"))
+    q = spread(query.select(F.col(query_id_col or id_col).cast("long").alias("qid"),
+                            F.col(query_vec_col or vec_col).cast("array<float>").alias("vec")), "qid")
     first = idx.probe(idx.nearest_cells(q, n_probe), top_k, exclude_self)
     if not exact:
         return _rank(first, top_k).select("query_id", "rank", "neighbor_id", "distance")

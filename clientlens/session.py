@@ -63,3 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "checkpoint directory (set it in the job config, or in tests)")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def spread(df, key=None):
+    """Repartition ``df`` only when it has fewer partitions than the cluster
+    can run at once (e.g. one small file feeding CPU-heavy per-row work).
+    Large inputs already split across many partitions are left untouched."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key is not None else df.repartition(target)
