@@ -41,15 +41,15 @@ def year_month(c) -> Column:
 
 def parse_dmy(c) -> Column:
     """``DD.MM.YYYY`` text → DATE; an invalid date becomes NULL (DAT-07)."""
-    return F.try_to_date(col_(c), F.lit("dd.MM.yyyy"))
+    return F.try_to_date(col_(c), "dd.MM.yyyy")
 
 
 def parse_yyyymmdd(c) -> Column:
-    return F.try_to_date(col_(c), F.lit("yyyyMMdd"))
+    return F.try_to_date(col_(c), "yyyyMMdd")
 
 
 def parse_iso(c) -> Column:
-    return F.try_to_date(col_(c), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(col_(c), "yyyy-MM-dd")
 
 
 def from_epoch_ms(c) -> Column:
