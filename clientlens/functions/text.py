@@ -76,10 +76,13 @@ def kv_label(pairs) -> Column:
 def money_label(c) -> Column:
     """``$1.2bn`` / ``$3.4m`` / ``$5k`` / ``$12`` (STR-08)."""
     x = col_(c).cast("double")
-    return (F.when(x >= 1e9, F.concat(F.lit("$"), F.format_number(x / 1e9, 1), F.lit("bn")))
-            .when(x >= 1e6, F.concat(F.lit("$"), F.format_number(x / 1e6, 1), F.lit("m")))
-            .when(x >= 1e3, F.concat(F.lit("$"), F.format_number(x / 1e3, 0), F.lit("k")))
-            .otherwise(F.concat(F.lit("$"), F.format_number(x, 0))))
+
+    def fmt(v, d):  # half-up first (format_number alone rounds half-even)
+        return F.regexp_replace(F.format_number(rnd(v, d), d), ",", "")
+    return (F.when(x >= 1e9, F.concat(F.lit("$"), fmt(x / 1e9, 1), F.lit("bn")))
+            .when(x >= 1e6, F.concat(F.lit("$"), fmt(x / 1e6, 1), F.lit("m")))
+            .when(x >= 1e3, F.concat(F.lit("$"), fmt(x / 1e3, 0), F.lit("k")))
+            .otherwise(F.concat(F.lit("$"), fmt(x, 0))))
 
 
 def signed_pct(c) -> Column:

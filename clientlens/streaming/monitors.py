@@ -80,10 +80,13 @@ def dedup_replays(df: DataFrame, ts_col: str = "value_ts", delay: str = "2 days"
 
 def structuring_windows(tx: DataFrame, low: float = 8000, high: float = 9999,
                         types: tuple[str, ...] = ("transfer_out", "transfer_in"),
-                        length: str = "7 days", slide: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """STM-03: count and sum of sub-threshold transfers per client and window."""
+                        length: str = "7 days", slide: str = "1 day", delay: str | None = "2 days") -> DataFrame:
+    """STM-03: count and sum of sub-threshold transfers per client and window.
+    ``delay=None`` keeps a watermark defined upstream (e.g. by the dedup)."""
     t = tx.filter(F.col("txn_type").isin(*types) & F.col("amount_usd").between(low, high))
-    return (t.withWatermark("value_ts", delay)
+    if delay:
+        t = t.withWatermark("value_ts", delay)
+    return (t
             .groupBy(F.window("value_ts", length, slide).alias("w"), "client_key")
             .agg(F.count("*").alias("n"), F.sum("amount_usd").alias("total"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "client_key", "n",
