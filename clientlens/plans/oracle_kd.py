@@ -56,7 +56,7 @@ SELECT CASE WHEN {label} = '' THEN 'all' ELSE {label} END AS drivers,
        {dbl_div(f'{mi} - {expected}', f'abs({expected})')} AS relative_unexpected_difference,
        {dbl_div(f'abs({diff})', 'CAST(t.abs_leaf AS DOUBLE)')} AS contribution,
        {support} AS apriori_support,
-       {order} AS n_dimensions,
+       CAST({order} AS INTEGER) AS n_dimensions,
        replace({label}, '; ', '|') AS _sort,
        {vlabel} AS _label
 FROM pruned, tot t"""
