@@ -88,7 +88,7 @@ def money_label(c) -> Column:
 def signed_pct(c) -> Column:
     """``+12.3%`` for a fraction (STR-08)."""
     x = col_(c).cast("double") * 100.0
-    return F.concat(F.when(x > 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.1f", x), F.lit("%"))
+    return F.concat(F.when(x > 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.1f", rnd(x, 1)), F.lit("%"))
 
 
 def provenance_label(source_banks, dual=None) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numeric import rnd
-from ..functions.text import kv_label, parse_kv_tokens
+from ..functions.numeric import bar_scale, rnd
+from ..functions.text import kv_label, money_label, parse_kv_tokens, signed_pct
 from ..operators.canonical import AS_OF, Client360
 from ..operators.keydrivers import OUTPUT_COLUMNS, KD_DIMS, KD_METRICS, KD_PARAMS, flow_drivers_input, key_drivers
 
@@ -38,7 +38,7 @@ def key_drivers_view(c: Client360, metric: str = "nna", n: int = 12, as_of: str
            .orderBy(F.abs("unexpected_difference").desc(), F.array_join("drivers", "|"))
            .limit(n))  # the top-n list is the feature
     listed = Window.partitionBy()  # over the n listed rows only (after the limit)
-    return top.select(
+    out = top.select(
         kv_label(parse_kv_tokens("drivers")).alias("label"),
         F.array_join("drivers", "|").alias("segment"),
         rnd(F.col("metric_interest") / 1e6, 2).alias("metric_interest_usd_m"),
@@ -57,4 +57,28 @@ def key_drivers_view(c: Client360, metric: str = "nna", n: int = 12, as_of: str
         .alias("listed_interest_usd_m"),
         rnd(F.sum(F.col("metric_reference").cast("decimal(38,2)")).over(listed).cast("double") / 1e6, 1)
         .alias("listed_reference_usd_m"),
+        money_label("metric_interest").alias("interest_label"),
+        F.to_json("drivers").alias("drivers_json"),
     )
+    return (out.withColumn("relative_change_label", signed_pct("relative_difference"))
+            .withColumn("bar_pct", rnd(bar_scale("unexpected_difference_usd_m",
+                                                 F.max(F.abs("unexpected_difference_usd_m")).over(listed)), 1)))
+
+
+def segment_key_drivers(c: Client360, metric: str, seg: str, top_k: int = 10, as_of: str = AS_OF) -> DataFrame:
+    """TVF-03: key drivers inside a segment over the dimensions it leaves free."""
+    from ..operators.segments_filter import free_dimensions, parse_segment
+    pred, pairs = parse_segment(seg)
+    col = KD_METRICS[metric][0]
+    inp = flow_drivers_input(c.clients, c.client_flows, as_of)
+    inp = inp.withColumn("dual_banked", F.col("banking").startswith("Dual")).filter(pred)
+    return key_drivers(inp, col, free_dimensions(pairs), "is_recent", top_k=top_k)
+
+
+def segment_stats(kd: DataFrame, seg: str) -> DataFrame:
+    """JN-11: the driver row whose (name, value) pairs equal the requested
+    segment's as a set (order-insensitive)."""
+    pairs = [p.split(":", 1) for p in seg.split("|") if ":" in p]
+    want = F.array_sort(F.array(*[F.struct(F.lit(n.strip()).alias("name"), F.lit(v.strip()).alias("value"))
+                                  for n, v in pairs]))
+    return kd.filter(F.array_sort(parse_kv_tokens("drivers")) == want)

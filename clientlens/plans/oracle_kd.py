@@ -14,18 +14,18 @@ from .oracle_sql import dbl_div, months_before_sql, with_
 BANK = "CASE WHEN c.dual_banked THEN 'Dual-banked (Apex + Summit)' ELSE 'Single-bank' END"
 
 
-def kd_input_cte(metric_col: str, as_of: str = AS_OF) -> str:
+def kd_input_cte(metric_col: str, as_of: str = AS_OF, where: str = "TRUE") -> str:
     return f"""
 SELECT c.segment_tier, c.region, c.booking_centre, c.risk_profile, {BANK} AS banking,
        f.{metric_col} AS m, f.month >= {months_before_sql(as_of, 6)} AS is_recent
 FROM client_flows f JOIN clients c ON f.client_key = c.client_key
-WHERE f.month >= {months_before_sql(as_of, 12)}"""
+WHERE f.month >= {months_before_sql(as_of, 12)} AND ({where})"""
 
 
 def kd_ctes(metric: str, top_k: int | None = None, min_support: float | None = None,
-            prune: bool = True, as_of: str = AS_OF):
+            prune: bool = True, as_of: str = AS_OF, dims: list[str] | None = None, where: str = "TRUE"):
     col = KD_METRICS[metric][0]
-    dims = KD_DIMS
+    dims = dims or KD_DIMS
     dl = ", ".join(dims)
     gcols = ", ".join(f"grouping({x}) AS g{i}" for i, x in enumerate(dims))
     parent_conds = []
@@ -61,7 +61,7 @@ SELECT CASE WHEN {label} = '' THEN 'all' ELSE {label} END AS drivers,
        {vlabel} AS _label
 FROM pruned, tot t"""
     ctes = [
-        ("inp", kd_input_cte(col, as_of)),
+        ("inp", kd_input_cte(col, as_of, where)),
         ("leaf", f"SELECT {dl}, SUM(CASE WHEN is_recent THEN m ELSE 0 END) AS mi, "
                  f"SUM(CASE WHEN NOT is_recent THEN m ELSE 0 END) AS mr, COUNT(*) AS n FROM inp GROUP BY {dl}"),
         ("tot", "SELECT SUM(mi) AS ti, SUM(mr) AS tr, SUM(abs(mi - mr)) AS abs_leaf FROM leaf"),
@@ -115,5 +115,34 @@ SELECT _label AS label, _sort AS segment,
        {r('pop.pr / 1e6', 1)} AS total_reference_usd_m,
        {r('(pop.pi - pop.pr) / 1e6', 1)} AS net_change_usd_m,
        {r('CAST(SUM(CAST(metric_interest AS DECIMAL(38,2))) OVER () AS DOUBLE) / 1e6', 1)} AS listed_interest_usd_m,
-       {r('CAST(SUM(CAST(metric_reference AS DECIMAL(38,2))) OVER () AS DOUBLE) / 1e6', 1)} AS listed_reference_usd_m
+       {r('CAST(SUM(CAST(metric_reference AS DECIMAL(38,2))) OVER () AS DOUBLE) / 1e6', 1)} AS listed_reference_usd_m,
+       {money('metric_interest')} AS interest_label,
+       CAST(to_json(string_split(drivers, '; ')) AS VARCHAR) AS drivers_json,
+       (CASE WHEN {r('coalesce(relative_difference, 0)', 4)} * 100.0 > 0 THEN '+' ELSE '' END)
+         || printf('%.1f', {r(r('coalesce(relative_difference, 0)', 4) + ' * 100.0', 1)}) || '%' AS relative_change_label,
+       {r(f"greatest(4.0, abs({r('unexpected_difference / 1e6', 2)}) / greatest(max(abs({r('unexpected_difference / 1e6', 2)})) OVER (), 1.0) * 100.0)", 1)} AS bar_pct
 FROM top, pop"""
+
+
+def money(x: str) -> str:
+    def r(v, k):
+        return f"CAST(ROUND(CAST({v} AS DECIMAL(38,10)), {k}) AS DOUBLE)"
+    return (f"(CASE WHEN {x} >= 1e9 THEN '$' || printf('%.1f', {r(x + ' / 1e9', 1)}) || 'bn' "
+            f"WHEN {x} >= 1e6 THEN '$' || printf('%.1f', {r(x + ' / 1e6', 1)}) || 'm' "
+            f"WHEN {x} >= 1e3 THEN '$' || printf('%.0f', {r(x + ' / 1e3', 0)}) || 'k' "
+            f"ELSE '$' || printf('%.0f', {r(x, 0)}) END)")
+
+
+SEG_KD = "region:AFRICA|banking:Dual-banked (Apex + Summit)"
+
+
+def segment_kd_sql(metric: str = "nna", top_k: int = 10) -> str:
+    w, sel = kd_ctes(metric, top_k=top_k, dims=["segment_tier", "booking_centre", "risk_profile"],
+                     where="c.region = 'AFRICA' AND c.dual_banked = TRUE")
+    return w + f"SELECT {sel} FROM kdt"
+
+
+def segment_stats_sql(metric: str = "nna") -> str:
+    w, sel = kd_ctes(metric, min_support=0.0)
+    return w + (f"SELECT {sel} FROM kdt WHERE list_sort(string_split(drivers, '; ')) = "
+                "list_sort(['region=AFRICA', 'banking=Dual-banked (Apex + Summit)'])")
