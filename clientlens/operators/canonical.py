@@ -65,6 +65,25 @@ def _pick(key, values: list[str]):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
 
 
+def _ts_ntz(date_str: str):
+    """Timestamp literal of the column's own type (keeps the filter pushable)."""
+    return F.expr(f"TIMESTAMP_NTZ '{date_str} 00:00:00'")
+
+
+def _next_month(date_str: str) -> str:
+    y, m = int(date_str[:4]), int(date_str[5:7])
+    y, m = (y + 1, 1) if m == 12 else (y, m + 1)
+    return f"{y:04d}-{m:02d}-01"
+
+
+def months_before_py(as_of: str, n: int) -> str:
+    """First day of the month ``n`` months before as_of's month."""
+    y, m = int(as_of[:4]), int(as_of[5:7]) - n
+    while m <= 0:
+        y, m = y - 1, m + 12
+    return f"{y:04d}-{m:02d}-01"
+
+
 def client_id_of(key):
     return F.format_string("CLI_%010d", key.cast("long"))
 
@@ -209,13 +228,21 @@ class Client360:
 
         Kept as exact decimals; the last, partial month is excluded.
         """
+        return self.client_flows_from(None)
+
+    def client_flows_from(self, first_month: str | None) -> DataFrame:
+        """``client_flows`` restricted to months ≥ ``first_month`` (a date
+        string).  The bounds are also stated on the raw ship timestamp so they
+        reach the parquet scan as pushed filters (row-group skipping)."""
         d = self.data
         li = d.lineitem.select("l_orderkey", "l_extendedprice", "l_returnflag", "l_shipdate")
+        li = li.filter(F.col("l_shipdate") < _ts_ntz(_next_month(LAST_FLOW_MONTH)))
+        if first_month:
+            li = li.filter(F.col("l_shipdate") >= _ts_ntz(first_month))
         o = d.orders.select("o_orderkey", "o_custkey")
         month = F.trunc(F.to_date("l_shipdate"), "MM")
         amt = F.col("l_extendedprice").cast(MONEY)
-        f = (li.filter(month <= F.to_date(F.lit(LAST_FLOW_MONTH)))
-             .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        f = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
              .groupBy(F.col("o_custkey").alias("client_key"), month.alias("month"))
              .agg(F.sum(F.when(F.col("l_returnflag") == "N", amt).otherwise(F.lit(0).cast(MONEY))).alias("inflow_usd"),
                   F.sum(F.when(F.col("l_returnflag") == "R", amt).otherwise(F.lit(0).cast(MONEY))).alias("outflow_usd")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import months_before, year_month
 from ..functions.numeric import MONEY, rnd
 from ..functions.text import banking_label
-from ..operators.canonical import AS_OF, Client360
+from ..operators.canonical import AS_OF, Client360, months_before_py
 from ..operators.forecast import forecast, heuristic_anomalies
 from ..operators.keydrivers import KD_METRICS
 from ..operators.segments_filter import free_dimensions, parse_segment
@@ -20,7 +20,8 @@ def segment_base(c: Client360, seg: str, as_of: str = AS_OF, window_months: int
     pred, _ = parse_segment(seg)
     cl = (c.clients.select("client_key", "segment_tier", "region", "booking_centre", "risk_profile", "dual_banked")
           .withColumn("banking", banking_label("dual_banked")).filter(pred))
-    return c.client_flows.filter(F.col("month") >= months_before(as_of, window_months)).join(cl, "client_key")
+    flows = c.client_flows_from(months_before_py(as_of, window_months))
+    return flows.filter(F.col("month") >= months_before(as_of, window_months)).join(cl, "client_key")
 
 
 def segment_trend(c: Client360, metric: str, seg: str, as_of: str = AS_OF) -> DataFrame:

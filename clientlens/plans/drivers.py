@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import bar_scale, rnd
 from ..functions.text import kv_label, money_label, parse_kv_tokens, signed_pct
-from ..operators.canonical import AS_OF, Client360
+from ..operators.canonical import AS_OF, Client360, months_before_py
 from ..operators.keydrivers import OUTPUT_COLUMNS, KD_DIMS, KD_METRICS, KD_PARAMS, flow_drivers_input, key_drivers
 
 
@@ -16,7 +16,7 @@ def key_drivers_table(c: Client360, metric: str = "nna", as_of: str = AS_OF, **o
     """One of the reference's three key-driver instances (nna / inflow / outflow)."""
     col = KD_METRICS[metric][0]
     params = {**KD_PARAMS[metric], **overrides}
-    inp = flow_drivers_input(c.clients, c.client_flows, as_of)
+    inp = flow_drivers_input(c.clients, c.client_flows_from(months_before_py(as_of, 12)), as_of)
     return key_drivers(inp, col, KD_DIMS, "is_recent", **params)
 
 
@@ -70,7 +70,7 @@ def segment_key_drivers(c: Client360, metric: str, seg: str, top_k: int = 10, as
     from ..operators.segments_filter import free_dimensions, parse_segment
     pred, pairs = parse_segment(seg)
     col = KD_METRICS[metric][0]
-    inp = flow_drivers_input(c.clients, c.client_flows, as_of)
+    inp = flow_drivers_input(c.clients, c.client_flows_from(months_before_py(as_of, 12)), as_of)
     inp = inp.withColumn("dual_banked", F.col("banking").startswith("Dual")).filter(pred)
     return key_drivers(inp, col, free_dimensions(pairs), "is_recent", top_k=top_k)
 
