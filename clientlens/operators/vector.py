@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import l2_normalize
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 
 PAIR_SCHEMA = "query_id long, neighbor_id long, distance double"
 DIST_DP = 6
@@ -203,19 +203,23 @@ def vector_search(base: DataFrame, query: DataFrame, top_k: int = 5, id_col: str
     ``exact=False`` is the IVF search over the ``n_probe`` nearest cells.
     """
     idx = index or CellIndex(base, id_col, vec_col, n_cells=n_cells, block=block)
+    ensure_checkpoint_dir(base.sparkSession)
     q = spread(query.select(F.col(query_id_col or id_col).cast("long").alias("qid"),
                             F.col(query_vec_col or vec_col).cast("array<float>").alias("vec")), "qid")
-    first = idx.probe(idx.nearest_cells(q, n_probe), top_k, exclude_self)
+    # Each round's probe list feeds both the block sizing and the probe, and
+    # round one's top-k feeds both round two and the final merge: checkpoint
+    # them (queries × n_probe and queries × k rows) so no numpy stage runs twice
+    # and a lost executor costs at most one round.
+    first = idx.probe(idx.nearest_cells(q, n_probe).checkpoint(), top_k, exclude_self)
     if not exact:
         return _rank(first, top_k).select("query_id", "rank", "neighbor_id", "distance")
-    top1 = _rank(first, top_k)
+    top1 = _rank(first, top_k).select(*PAIR_COLS).checkpoint()
     dk = (top1.groupBy("query_id").agg(F.max("distance").alias("dk"), F.count("*").alias("found"))
           .select(F.col("query_id").alias("qid"),
                   F.when(F.col("found") >= top_k, F.col("dk")).otherwise(F.lit(2.0)).alias("dk")))
     q2 = q.join(dk, "qid", "left").withColumn("dk", F.coalesce("dk", F.lit(2.0)))
-    second = idx.probe(idx.bounded_cells(q2, n_probe), top_k, exclude_self)
-    return _rank(top1.select(*PAIR_COLS).unionByName(second), top_k).select(
-        "query_id", "rank", "neighbor_id", "distance")
+    second = idx.probe(idx.bounded_cells(q2, n_probe).checkpoint(), top_k, exclude_self)
+    return _rank(top1.unionByName(second), top_k).select("query_id", "rank", "neighbor_id", "distance")
 
 
 PAIR_COLS = ["query_id", "neighbor_id", "distance"]
