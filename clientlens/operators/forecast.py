@@ -29,6 +29,13 @@ from ..functions.numeric import normal_cdf, rnd
 Y = "decimal(20,8)"
 
 
+def _single_series_key(ts_col: str) -> F.Column:
+    """Series id for a frame without id columns.  It is built from a data
+    column (``'all' || ''``) so Catalyst cannot constant-fold it and the
+    per-series joins stay hash equi-joins instead of becoming a cross join."""
+    return F.concat(F.lit("all"), F.substring(F.col(ts_col).cast("string"), 1, 0))
+
+
 def month_index(c) -> F.Column:
     c = F.col(c) if isinstance(c, str) else c
     return (F.year(c) * 12 + F.month(c)).cast("long")
@@ -70,7 +77,7 @@ def forecast(df: DataFrame, data_col: str, timestamp_col: str, id_cols: list[str
     """
     ids = list(id_cols or [])
     if not ids:
-        df = df.withColumn("_series", F.lit("all"))
+        df = df.withColumn("_series", _single_series_key(timestamp_col))
         ids_work = ["_series"]
     else:
         ids_work = ids
@@ -107,7 +114,7 @@ def detect_anomalies(df: DataFrame, data_col: str, timestamp_col: str, id_cols:
     """Per point: is_anomaly, anomaly_probability = 2Φ(|z|) − 1 of the residual."""
     ids = list(id_cols or [])
     if not ids:
-        df = df.withColumn("_series", F.lit("all"))
+        df = df.withColumn("_series", _single_series_key(timestamp_col))
         ids_work = ["_series"]
     else:
         ids_work = ids
