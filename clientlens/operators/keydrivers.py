@@ -71,26 +71,29 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
         raise ValueError("baseline must be 'population' or 'complement'")
     if max_order is None:
         max_order = d if d <= 8 else 3
-    label = F.col(interest_label_col)
-    m = F.col(metric_col)
-    zero = F.lit(0).cast(df.schema[metric_col].dataType)
+    # Expressions are written as SQL text (``F.expr``): the same plan as the
+    # Column API, but one JVM call per expression instead of thousands.
+    E = F.expr
+    bq = [f"`{c}`" for c in dims]
+    lab, met = f"`{interest_label_col}`", f"`{metric_col}`"
+    mtype = df.schema[metric_col].dataType.simpleString()
+    dtypes = [df.schema[c].dataType.simpleString() for c in dims]
 
     # 1) leaf cells -------------------------------------------------------------
     leaf = (df.groupBy(*dims)
-            .agg(F.sum(F.when(label, m).otherwise(zero)).alias("_mi"),
-                 F.sum(F.when(~label, m).otherwise(zero)).alias("_mr"),
-                 F.count(F.when(label.isNotNull(), 1)).alias("_n"),
-                 F.min(m).alias("_min")))
+            .agg(E(f"sum(CASE WHEN {lab} THEN {met} ELSE CAST(0 AS {mtype}) END)").alias("_mi"),
+                 E(f"sum(CASE WHEN NOT {lab} THEN {met} ELSE CAST(0 AS {mtype}) END)").alias("_mr"),
+                 E(f"count(CASE WHEN {lab} IS NOT NULL THEN 1 END)").alias("_n"),
+                 E(f"min({met})").alias("_min")))
 
     # 3) population totals: a one-row global aggregate over the leaf cells,
     #    attached below by a broadcast hash join on a constant aggregate key
     #    (size bound: exactly one row).  Being in the same plan as the
     #    grouping sets, the leaf exchange is reused and the input is scanned
     #    once; a scalar subquery would be planned apart and rescan it.
-    tot = leaf.agg(F.sum("_mi").alias("_ti"), F.sum("_mr").alias("_tr"), F.min("_min").alias("_mn"),
-                   F.sum(F.abs(F.col("_mi") - F.col("_mr"))).alias("_abs_leaf"),
-                   F.sum("_n").alias("_rows"), F.max(F.lit(1)).alias("_one"))
-    ti, tr, mn, abs_leaf = _dbl(F.col("_ti")), _dbl(F.col("_tr")), F.col("_mn"), _dbl(F.col("_abs_leaf"))
+    tot = leaf.agg(E("sum(_mi)").alias("_ti"), E("sum(_mr)").alias("_tr"), E("min(_min)").alias("_mn"),
+                   E("sum(abs(_mi - _mr))").alias("_abs_leaf"), E("sum(_n)").alias("_rows"),
+                   E("max(1)").alias("_one"))
 
     # 2) grouping sets over leaf cells ---------------------------------------------
     #    min/max/null flags of every dimension inside each group tell whether
@@ -98,88 +101,82 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
     sets = [list(s) for r in range(0, max_order + 1) for s in combinations(dims, r)]
     fd_aggs = []
     if enable_pruning:
-        for j, c in enumerate(dims):
-            fd_aggs += [F.min(c).alias(f"_lo{j}"), F.max(c).alias(f"_hi{j}"),
-                        F.max(F.col(c).isNull().cast("int")).alias(f"_anynull{j}"),
-                        F.min(F.col(c).isNull().cast("int")).alias(f"_allnull{j}")]
+        for j, c in enumerate(bq):
+            fd_aggs += [E(f"min({c})").alias(f"_lo{j}"), E(f"max({c})").alias(f"_hi{j}"),
+                        E(f"max(CAST({c} IS NULL AS INT))").alias(f"_anynull{j}"),
+                        E(f"min(CAST({c} IS NULL AS INT))").alias(f"_allnull{j}")]
     cube = (leaf.groupingSets(sets, *dims)
-            .agg(F.sum("_mi").alias("_mi"), F.sum("_mr").alias("_mr"), F.sum("_n").alias("_n"),
-                 F.min("_min").alias("_min"), F.max(F.lit(1)).alias("_one"),
-                 *[F.grouping(c).alias(f"_g{j}") for j, c in enumerate(dims)], *fd_aggs))
-    is_set = [F.col(f"_g{j}") == 0 for j in range(d)]
-    mask = sum((F.when(is_set[j], F.lit(1 << j)).otherwise(F.lit(0)) for j in range(d)), F.lit(0))
-    cube = cube.withColumn("_mask", mask)
+            .agg(E("sum(_mi)").alias("_mi"), E("sum(_mr)").alias("_mr"), E("sum(_n)").alias("_n"),
+                 E("min(_min)").alias("_min"), E("max(1)").alias("_one"),
+                 *[E(f"grouping({c})").alias(f"_g{j}") for j, c in enumerate(bq)], *fd_aggs)
+            .withColumn("_mask", E(" + ".join(f"(CASE WHEN _g{j} = 0 THEN {1 << j} ELSE 0 END)" for j in range(d)))))
 
     # 4) redundancy pruning ---------------------------------------------------------
     #    A child P ∪ {j = v} selects exactly the rows of its parent P iff
-    #    dimension j is constant (= v) inside P.  Each parent emits the keys of
-    #    such children; one anti-join removes them.  Orders are within
-    #    max_order, so only parents below max_order emit.
+    #    dimension j is constant (= v) inside P.  One pass, no self-join:
+    #    every row emits its own key (kind 0) and the keys of its redundant
+    #    children (kind 1); a key group holding a kind-1 record is dropped.
+    #    Null-safe by construction (groupBy groups NULLs).  Only parents below
+    #    max_order emit, as their children must exist.
     if enable_pruning:
-        # One pass, no self-join: every row emits its own key (kind 0) and
-        # the keys of its redundant children (kind 1); a group with a kind-1
-        # record is dropped.  Null-safe by construction (groupBy groups NULLs).
-        dtypes = [df.schema[c].dataType for c in dims]
-        order = sum((is_set[j].cast("int") for j in range(d)), F.lit(0))
-        recs = [F.struct(F.lit(0).alias("kind"), F.col("_mask").alias("kmask"),
-                         *[F.col(c).cast(dtypes[i]).alias(f"k{i}") for i, c in enumerate(dims)])]
-        for j, c in enumerate(dims):
-            const = F.when(F.col(f"_allnull{j}") == 1, F.lit(True)).otherwise(
-                (F.col(f"_anynull{j}") == 0) & (F.col(f"_lo{j}") == F.col(f"_hi{j}")))
-            value = F.when(F.col(f"_allnull{j}") == 1, F.lit(None)).otherwise(F.col(f"_lo{j}"))
-            recs.append(F.when(~is_set[j] & const & (order < max_order), F.struct(
-                F.lit(1).alias("kind"), (F.col("_mask") + F.lit(1 << j)).alias("kmask"),
-                *[(value if i == j else F.col(ci)).cast(dtypes[i]).alias(f"k{i}") for i, ci in enumerate(dims)])))
-        payload = F.struct(*[F.col(x) for x in cube.columns if not x.startswith(("_lo", "_hi", "_anynull", "_allnull"))])
-        keyed = (cube.select(payload.alias("_row"), F.explode(F.filter(F.array(*recs), lambda x: x.isNotNull())).alias("_k"))
-                 .select(F.when(F.col("_k.kind") == 0, F.col("_row")).alias("_row"), "_k.*"))
+        order = " + ".join(f"(1 - _g{j})" for j in range(d))
+
+        def rec(kind, kmask, vals):
+            fields = ", ".join(f"'k{i}', CAST({v} AS {dtypes[i]})" for i, v in enumerate(vals))
+            return f"named_struct('kind', {kind}, 'kmask', {kmask}, {fields})"
+        recs = [rec(0, "_mask", bq)]
+        for j in range(d):
+            const = f"(_allnull{j} = 1 OR (_anynull{j} = 0 AND _lo{j} = _hi{j}))"
+            value = f"(CASE WHEN _allnull{j} = 1 THEN NULL ELSE _lo{j} END)"
+            vals = [value if i == j else c for i, c in enumerate(bq)]
+            recs.append(f"CASE WHEN _g{j} = 1 AND {const} AND ({order}) < {max_order} "
+                        f"THEN {rec(1, f'_mask + {1 << j}', vals)} END")
+        keep = [x for x in cube.columns if not x.startswith(("_lo", "_hi", "_anynull", "_allnull"))]
+        payload = "struct(" + ", ".join(f"`{x}`" for x in keep) + ")"
+        keyed = (cube.select(E(payload).alias("_row"),
+                             E(f"explode(filter(array({', '.join(recs)}), x -> x IS NOT NULL))").alias("_k"))
+                 .select(E("CASE WHEN _k.kind = 0 THEN _row END").alias("_row"), "_k.*"))
         cube = (keyed.groupBy("kmask", *[f"k{i}" for i in range(d)])
-                .agg(F.max("kind").alias("_killed"), F.first("_row", ignorenulls=True).alias("_row"))
-                .filter((F.col("_killed") == 0) & F.col("_row").isNotNull())
+                .agg(E("max(kind)").alias("_killed"), E("first(_row, true)").alias("_row"))
+                .filter("_killed = 0 AND _row IS NOT NULL")
                 .select("_row.*"))
 
     cube = cube.join(F.broadcast(tot), "_one")
 
     # formulas ----------------------------------------------------------------------------
-    mi, mr = _dbl(F.col("_mi")), _dbl(F.col("_mr"))
-    diff = _dbl(F.col("_mi") - F.col("_mr"))
-    if baseline == "population":
-        expected = _div(mr * ti, tr)
-    else:
-        expected = _div(mr * (ti - mi), tr - mr)
-    support = F.greatest(_div(mi, ti), _div(mr, tr))
-    if min_apriori_support is not None and min_apriori_support == 0:
-        checked = support
-    elif min_apriori_support is None and top_k is None:
+    def div(a, b):
+        return f"(CASE WHEN ({b}) = 0 THEN CAST(NULL AS DOUBLE) ELSE ({a}) / ({b}) END)"
+    mi, mr, ti, tr = "CAST(_mi AS DOUBLE)", "CAST(_mr AS DOUBLE)", "CAST(_ti AS DOUBLE)", "CAST(_tr AS DOUBLE)"
+    diff = "CAST(_mi - _mr AS DOUBLE)"
+    expected = div(f"{mr} * {ti}", tr) if baseline == "population" else div(f"{mr} * ({ti} - {mi})", f"{tr} - {mr}")
+    support = f"greatest({div(mi, ti)}, {div(mr, tr)})"
+    if (min_apriori_support is not None and min_apriori_support == 0) or (min_apriori_support is None and top_k is None):
         checked = support
     else:
-        checked = F.when(mn < 0, F.raise_error(F.lit(
-            "key_drivers: negative metric values need min_apriori_support=0"))).otherwise(support)
-    tokens = F.filter(F.array(*[F.when(is_set[j], F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
-                                for j, c in enumerate(dims)]), lambda x: x.isNotNull())
+        checked = (f"CASE WHEN _mn < 0 THEN raise_error("
+                   f"'key_drivers: negative metric values need min_apriori_support=0') ELSE {support} END")
+    tokens = ("filter(array(" + ", ".join(f"CASE WHEN _g{j} = 0 THEN concat('{c}=', CAST({bq[j]} AS STRING)) END"
+                                          for j, c in enumerate(dims)) + "), x -> x IS NOT NULL)")
     out = cube.select(
-        F.when(F.size(tokens) == 0, F.array(F.lit("all"))).otherwise(tokens).alias("drivers"),
-        mi.alias("metric_interest"),
-        mr.alias("metric_reference"),
-        diff.alias("difference"),
-        _div(diff, F.abs(mr)).alias("relative_difference"),
-        (mi - expected).alias("unexpected_difference"),
-        _div(mi - expected, F.abs(expected)).alias("relative_unexpected_difference"),
-        _div(F.abs(diff), abs_leaf).alias("contribution"),
-        checked.alias("apriori_support"),
-        F.size(tokens).alias("_order"),
-        ti.alias("population_interest"),
-        tr.alias("population_reference"),
+        E(f"CASE WHEN size({tokens}) = 0 THEN array('all') ELSE {tokens} END").alias("drivers"),
+        E(mi).alias("metric_interest"), E(mr).alias("metric_reference"), E(diff).alias("difference"),
+        E(div(diff, f"abs({mr})")).alias("relative_difference"),
+        E(f"{mi} - {expected}").alias("unexpected_difference"),
+        E(div(f"{mi} - {expected}", f"abs({expected})")).alias("relative_unexpected_difference"),
+        E(div(f"abs({diff})", "CAST(_abs_leaf AS DOUBLE)")).alias("contribution"),
+        E(checked).alias("apriori_support"),
+        E(" + ".join(f"(1 - _g{j})" for j in range(d))).alias("_order"),
+        E(ti).alias("population_interest"), E(tr).alias("population_reference"),
     )
     if min_apriori_support is not None:
-        out = out.filter((F.col("_order") == 0) | (F.col("apriori_support") >= F.lit(float(min_apriori_support))))
+        out = out.filter(f"_order = 0 OR apriori_support >= {float(min_apriori_support)!r}")
     if top_k is not None:
         # top-k is the feature here: a TakeOrderedAndProject over the segments
         # (per-partition partial top-k, then a k-row merge), plus the population row.
-        seg = (out.filter(F.col("_order") > 0)
-               .orderBy(F.col("apriori_support").desc_nulls_last(), F.array_join("drivers", "|"))
+        seg = (out.filter("_order > 0")
+               .orderBy(F.col("apriori_support").desc_nulls_last(), E("array_join(drivers, '|')"))
                .limit(top_k))
-        out = out.filter(F.col("_order") == 0).unionByName(seg)
+        out = out.filter("_order = 0").unionByName(seg)
     return out.select(*OUTPUT_COLUMNS, F.col("_order").alias("n_dimensions"),
                       "population_interest", "population_reference")
 
