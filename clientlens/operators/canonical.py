@@ -65,6 +65,22 @@ def _pick(key, values: list[str]):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
 
 
+def _sql_lit(v) -> str:
+    return "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def _sql_case(expr: str, mapping: dict, default: str) -> str:
+    """Literal lookup as SQL ``CASE`` text."""
+    whens = " ".join(f"WHEN {_sql_lit(k)} THEN {_sql_lit(v)}" for k, v in mapping.items())
+    return f"(CASE {expr} {whens} ELSE {_sql_lit(default)} END)"
+
+
+def _sql_pick(expr: str, values: list[str]) -> str:
+    """values[expr mod n] as SQL text."""
+    arr = ", ".join(_sql_lit(v) for v in values)
+    return f"element_at(array({arr}), CAST(pmod({expr}, {len(values)}) + 1 AS INT))"
+
+
 def _ts_ntz(date_str: str):
     """Timestamp literal of the column's own type (keeps the filter pushable)."""
     return F.expr(f"TIMESTAMP_NTZ '{date_str} 00:00:00'")
@@ -100,46 +116,41 @@ class Client360:
     @cached_property
     def clients(self) -> DataFrame:
         d = self.data
-        k = F.col("c_custkey")
         nation = d.nation.select("n_nationkey", "n_name", "n_regionkey")
         region = d.region.select("r_regionkey", "r_name")
-        dual = F.pmod(k, F.lit(9)) < 2
-        tenure = (F.lit(120) + F.pmod(k, F.lit(7910))).cast("int")
         c = (d.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
              # nation and region are fixed 25 / 5-row dimensions: safe to broadcast.
              .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
              .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")))
-        return c.select(
-            k.alias("client_key"),
-            client_id_of(k).alias("client_id"),
-            F.col("c_name").alias("full_name"),
-            (F.pmod(k, F.lit(17)) == 0).alias("is_entity"),
-            F.date_add(F.to_date(F.lit("1940-01-01")), F.pmod(k * 37, F.lit(20000)).cast("int")).alias("dob"),
-            map_lookup("c_mktsegment", SEGMENT_BY_MKTSEGMENT, "Affluent").alias("segment_tier"),
-            F.col("n_name").alias("domicile"),
-            F.col("n_name").alias("booking_centre"),
-            F.col("r_name").alias("region"),
-            _pick(k, RISK_PROFILES).alias("risk_profile"),
-            F.coalesce(map_lookup(F.pmod(k, F.lit(10)), KYC_BY_KEY_MOD10), F.lit("verified")).alias("kyc_status"),
-            F.when(F.pmod(k, F.lit(3)) == 0,
-                   F.concat(_pick(k, LANGUAGES), F.lit("|"), _pick(k + 3, LANGUAGES)))
-             .otherwise(_pick(k, LANGUAGES)).alias("languages"),
-            F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com")).alias("email"),
-            F.format_string("+41 %07d", F.pmod(k * 7919, F.lit(10000000))).alias("phone"),
-            F.format_string("%d Lake Road", F.pmod(k, F.lit(97)) + 1).alias("address_line"),
-            F.col("n_name").alias("city"),
-            F.format_string("ADV_%06d", F.pmod(k, F.lit(ADVISOR_POOL))).alias("primary_advisor_id"),
-            F.when(dual, F.lit("apex|summit"))
-             .when(F.pmod(k, F.lit(2)) == 0, F.lit("apex")).otherwise(F.lit("summit")).alias("source_banks"),
-            dual.alias("dual_banked"),
-            (F.greatest(F.col("c_acctbal"), F.lit(0.0)).cast(MONEY) * 1000).cast(MONEY).cast("double")
-             .alias("total_aum_usd"),
-            F.date_sub(F.to_date(F.lit(self.as_of)), tenure).alias("first_seen_date"),
-            tenure.alias("tenure_days"),
-            F.when(F.pmod(k, F.lit(5)) < 3,
-                   F.format_string("HH%010d", F.floor(k / 8).cast("long")))
-             .otherwise(F.format_string("HH_SOLO_%d", k)).alias("household_id"),
-            (F.pmod(k, F.lit(4)) != 0).alias("marketing_consent"),
+        # One SQL expression per column (a single JVM call each).
+        k = "c_custkey"
+        dual = f"pmod({k}, 9) < 2"
+        tenure = f"CAST(120 + pmod({k}, 7910) AS INT)"
+        return c.selectExpr(
+            f"{k} AS client_key",
+            f"format_string('CLI_%010d', CAST({k} AS BIGINT)) AS client_id",
+            "c_name AS full_name",
+            f"pmod({k}, 17) = 0 AS is_entity",
+            f"date_add(DATE'1940-01-01', CAST(pmod({k} * 37, 20000) AS INT)) AS dob",
+            f"{_sql_case('c_mktsegment', SEGMENT_BY_MKTSEGMENT, 'Affluent')} AS segment_tier",
+            "n_name AS domicile", "n_name AS booking_centre", "r_name AS region",
+            f"{_sql_pick(k, RISK_PROFILES)} AS risk_profile",
+            f"{_sql_case(f'pmod({k}, 10)', KYC_BY_KEY_MOD10, 'verified')} AS kyc_status",
+            f"CASE WHEN pmod({k}, 3) = 0 THEN concat({_sql_pick(k, LANGUAGES)}, '|', {_sql_pick(f'{k} + 3', LANGUAGES)}) "
+            f"ELSE {_sql_pick(k, LANGUAGES)} END AS languages",
+            "concat(lower(regexp_replace(c_name, '#', '.')), '@example.com') AS email",
+            f"format_string('+41 %07d', pmod({k} * 7919, 10000000)) AS phone",
+            f"format_string('%d Lake Road', pmod({k}, 97) + 1) AS address_line",
+            "n_name AS city",
+            f"format_string('ADV_%06d', pmod({k}, {ADVISOR_POOL})) AS primary_advisor_id",
+            f"CASE WHEN {dual} THEN 'apex|summit' WHEN pmod({k}, 2) = 0 THEN 'apex' ELSE 'summit' END AS source_banks",
+            f"{dual} AS dual_banked",
+            f"CAST(CAST(CAST(greatest(c_acctbal, 0.0D) AS {MONEY}) * 1000 AS {MONEY}) AS DOUBLE) AS total_aum_usd",
+            f"date_sub(DATE'{self.as_of}', {tenure}) AS first_seen_date",
+            f"{tenure} AS tenure_days",
+            f"CASE WHEN pmod({k}, 5) < 3 THEN format_string('HH%010d', CAST(floor({k} / 8) AS BIGINT)) "
+            f"ELSE format_string('HH_SOLO_%d', {k}) END AS household_id",
+            f"pmod({k}, 4) != 0 AS marketing_consent",
         )
 
     # -- accounts -------------------------------------------------------------
