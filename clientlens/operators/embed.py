@@ -40,17 +40,18 @@ def chunk(df: DataFrame, text_col: str, size: int = 200, overlap: int = 40, id_c
     """Whole text → fixed-size, overlapping word windows (every word is in a chunk).
 
     Output: the input columns, ``chunk_no`` (0-based), ``chunk_text`` and a
-    numeric ``chunk_id = id * 100000 + chunk_no``.
+    numeric ``chunk_id = id * 10^7 + chunk_no``.
     """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     step = size - overlap
     words = F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.greatest(n - F.lit(overlap) - 1, F.lit(0)), F.lit(step))
-    out = (df.withColumn("_w", words)
-           .select("*", F.posexplode(starts).alias("chunk_no", "_s"))
-           .withColumn("chunk_text", F.array_join(F.slice("_w", F.col("_s") + 1, size), " "))
-           .withColumn("chunk_id", F.col(id_col).cast("long") * 100000 + F.col("chunk_no"))
-           .drop("_w", "_s"))
-    return out
+    # Chunk strings are built inside the row (total size ≈ text × size/step,
+    # linear in the text), then exploded: no exploded row carries the whole
+    # word array.
+    chunks = F.expr(
+        f"transform(sequence(0, greatest(size(_w) - {overlap} - 1, 0), {step}), "
+        f"s -> array_join(slice(_w, s + 1, {size}), ' '))")
+    return (df.withColumn("_w", words).withColumn("_chunks", chunks).drop("_w")
+            .select("*", F.posexplode("_chunks").alias("chunk_no", "chunk_text")).drop("_chunks")
+            .withColumn("chunk_id", F.col(id_col).cast("long") * 10000000 + F.col("chunk_no")))

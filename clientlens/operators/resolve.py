@@ -102,17 +102,23 @@ def blocking_keys(records: DataFrame) -> DataFrame:
     return records.select("record_id", F.explode(keys).alias("key"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """ER-07: (record_id, cluster_id) for the record–key bipartite graph.
 
     Alternating min-label propagation: key label = min label of its records,
-    record label = min label of its keys; stops when no label changes.
+    record label = min label of its keys; runs until no label changes (a
+    ``max_rounds`` bound, if given, raises instead of returning unfinished
+    labels).
     Each round is checkpointed (reliable checkpoint in the shared directory
     named by ``spark.checkpoint.dir``)."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("record_id", "key").distinct().checkpoint()
     labels = e.select("record_id").distinct().withColumn("label", F.col("record_id")).checkpoint()
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
         key_label = e.join(labels, "record_id").groupBy("key").agg(F.min("label").alias("klabel"))
         new = (e.join(key_label, "key").groupBy("record_id").agg(F.min("klabel").alias("nl"))
                .join(labels, "record_id")

@@ -83,3 +83,13 @@ def test_heuristic_divides_by_real_prior_count(spark):
     df = spark.createDataFrame([(f"2021-{i + 1:02d}", v) for i, v in enumerate(vals)], "ts string, value double")
     flags = {r.ts: r.is_anomaly for r in heuristic_anomalies(df).collect()}
     assert flags["2021-08"] and not flags["2021-09"] and not flags["2021-01"]
+
+
+def test_chunking_covers_whole_text(spark):
+    from clientlens.operators.embed import chunk
+    words = [f"w{i}" for i in range(361)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, "a b c")], "doc_id long, text string")
+    rows = chunk(df, "text", 200, 40).orderBy("chunk_id").collect()
+    assert [(r.doc_id, r.chunk_no) for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
+    assert set(w for r in rows if r.doc_id == 1 for w in r.chunk_text.split()) == set(words)
+    assert rows[1].chunk_text.split()[0] == "w160"  # overlap of 40 words
