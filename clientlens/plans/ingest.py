@@ -29,7 +29,8 @@ _TXN_CODE = {v: k for k, v in R.TXN_CODES.items()}
 FILES = {"clients_csv": "apex_clients.csv", "portfolios_txt": "apex_portfolios.txt",
          "positions_parquet": "apex_positions.parquet", "clients_json": "summit_clients.ndjson",
          "accounts_xml": "summit_accounts.xml", "transactions_json": "summit_transactions.ndjson",
-         "manifest_csv": "document_manifest.csv", "truth_csv": "identity_truth.csv"}
+         "manifest_csv": "document_manifest.csv", "truth_csv": "identity_truth.csv",
+         "advisors_xlsx": "apex_advisors_xlsx"}
 
 
 def _lookup(c, mapping, default=None):
@@ -87,6 +88,13 @@ def export_raw_files(c: Client360, root: str | None = None) -> str:
                          F.col("source").alias("doc_type"), F.lit(None).cast("string").alias("client_id"),
                          F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
                          F.col("text").alias("parsed_text")), os.path.join(root, FILES["manifest_csv"]))
+    # SRC-05: advisor workbooks (bank A advisors), one .xlsx per partition
+    adv = c.advisors.filter(F.col("source_bank") == "apex")
+    K.write_workbooks(adv.select(F.col("advisor_id").alias("Advisor ID"), F.col("name").alias("Name"),
+                                 F.col("role").alias("Role"), F.col("desk").alias("Desk"),
+                                 F.col("booking_centre").alias("Booking Centre"), F.col("market").alias("Market"),
+                                 F.col("languages").alias("Languages")),
+                      os.path.join(root, FILES["advisors_xlsx"]), "Advisors")
     # SRC-10: identity truth
     K.write_csv(c.clients.select(F.col("client_id").alias("master_client_id"), "source_banks", "dual_banked"),
                 os.path.join(root, FILES["truth_csv"]))
@@ -104,6 +112,7 @@ def read_raw_files(spark, root: str) -> dict[str, DataFrame]:
         "transactions_json": R.transactions_canonical(R.read_transactions_json(spark, p["transactions_json"])),
         "manifest_csv": R.read_document_manifest(spark, p["manifest_csv"]),
         "truth_csv": R.read_identity_truth(spark, p["truth_csv"]),
+        "advisors_xlsx": R.read_workbooks(spark, p["advisors_xlsx"], "Advisors"),
     }
 
 
@@ -125,7 +134,6 @@ def ingest(c: Client360) -> tuple[str, dict[str, DataFrame]]:
 
 
 def source_inventory(c: Client360) -> DataFrame:
-    """SRC-11 over the round-tripped files (the workbook source has no
-    file in the test data, so it reports ``pending`` with 0 rows)."""
+    """SRC-11 over the round-tripped files."""
     ingest(c)
     return K.source_inventory(c.spark, [(b, e, f, f"raw_{v}") for b, e, f, v in INVENTORY])

@@ -89,3 +89,68 @@ def source_inventory(spark: SparkSession, sources: list[tuple[str, str, str, str
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def write_workbooks(df: DataFrame, path: str, sheet: str = "Sheet1") -> int:
+    """Write ``df`` as .xlsx workbooks, one per partition (stdlib zip + XML,
+    inline strings), under ``path`` in a shared file system.  Each task
+    writes its own file; returns the number of rows written."""
+    import uuid as _uuid
+
+    from pyspark.sql.types import LongType, StructField, StructType
+    cols = df.columns
+
+    def esc(v) -> str:
+        s = "" if v is None else str(v)
+        return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+    def ref(i: int, r: int) -> str:
+        name = ""
+        i += 1
+        while i:
+            i, rem = divmod(i - 1, 26)
+            name = chr(65 + rem) + name
+        return f"{name}{r}"
+
+    def write_part(it):
+        import io
+        import zipfile
+
+        import pandas as pd
+        rows = [r for pdf in it for r in pdf.itertuples(index=False, name=None)]
+        if not rows:
+            yield pd.DataFrame({"rows": []})
+            return
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+        lines = []
+        for r_i, values in enumerate([cols] + rows, start=1):
+            cells = "".join(f'<c r="{ref(c_i, r_i)}" t="inlineStr"><is><t>{esc(v)}</t></is></c>'
+                            for c_i, v in enumerate(values) if v is not None)
+            lines.append(f'<row r="{r_i}">{cells}</row>')
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="{esc(sheet)}" sheetId="1" '
+                                          f'r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels",
+                       '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                       '<Relationship Id="rId1" Target="worksheets/sheet1.xml" '
+                       'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet"/>'
+                       '</Relationships>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData>{"".join(lines)}</sheetData></worksheet>')
+        _put(path, f"part-{_uuid.uuid4().hex}.xlsx", buf.getvalue())
+        yield pd.DataFrame({"rows": [len(rows)]})
+
+    out = df.mapInPandas(write_part, StructType([StructField("rows", LongType())]))
+    return int(out.agg(F.sum("rows")).collect()[0][0] or 0)
+
+
+def _put(directory: str, name: str, data: bytes) -> None:
+    """Write bytes to ``directory/name``.  Python tasks write through the
+    POSIX file API, so on a cluster ``directory`` must be a shared mount
+    visible to every executor (object-store URIs are not supported here)."""
+    import os as _os
+    target = directory[len("file:"):] if directory.startswith("file:") else directory
+    _os.makedirs(target, exist_ok=True)
+    with open(_os.path.join(target, name), "wb") as fh:
+        fh.write(data)
