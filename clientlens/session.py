@@ -73,3 +73,28 @@ def spread(df, key=None):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key is not None else df.repartition(target)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``clientlens`` importable by Python workers (what ``--py-files``
+    does on a cluster): zip the package once and ``addPyFile`` it.  Needed by
+    the operators that run pandas code in tasks when the package is not
+    installed on the executors."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import tempfile
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="clientlens-pkg-"), "clientlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(id(sc))
