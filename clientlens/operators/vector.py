@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import l2_normalize
 from ..session import ensure_checkpoint_dir, spread
 
 PAIR_SCHEMA = "query_id long, neighbor_id long, distance double"
@@ -55,6 +54,15 @@ def _stack(col: pd.Series, dim: int) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in col])
 
 
+def _normalize_batches(it):
+    for pdf in it:
+        if len(pdf) == 0:
+            continue
+        dim = len(pdf["vec"].iloc[0])
+        U = _unit(_stack(pdf["vec"], dim))
+        yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "uvec": list(U)})
+
+
 def _centroid_dist(U: np.ndarray, C: np.ndarray) -> np.ndarray:
     """Euclidean distances rows × centroids via one matrix product
     (|u - c|² = |u|² + |c|² - 2 u·c), memory rows × centroids."""
@@ -92,11 +100,18 @@ class CellIndex:
         # probe round: persist them once (lineage-backed, so a lost executor
         # recomputes its blocks).  ``release()`` frees them.
         b = spread(base.select(F.col(id_col).cast("long").alias("id"),
-                               F.col(vec_col).cast("array<float>").alias("vec")), "id").persist(StorageLevel.MEMORY_AND_DISK)
-        self._persisted = [b]
-        unit = b.select("id", "vec", array_to_vector(l2_normalize("vec")).alias("uvec"))
+                               F.col(vec_col).cast("array<float>").alias("vec")), "id")
+        # Unit vectors computed once, in numpy over Arrow batches, and
+        # persisted with the raw vectors: they feed every k-means pass, the
+        # cell statistics and every probe round (lineage-backed, so a lost
+        # executor recomputes its blocks; ``release()`` frees them).
+        unit = (b.mapInPandas(_normalize_batches, "id long, vec array<float>, uvec array<double>")
+                .select("id", "vec", array_to_vector("uvec").alias("uvec"))
+                .persist(StorageLevel.MEMORY_AND_DISK))
+        self._persisted = [unit]
         train = unit if not train_fraction else unit.sample(fraction=train_fraction, seed=seed)
         model = KMeans(k=n_cells, seed=seed, featuresCol="uvec", maxIter=20).fit(train)
+        b = unit.select("id", "vec")
         cents = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
         self.dim = cents.shape[1]
         self.centroids = cents
