@@ -19,12 +19,13 @@ CATEGORICAL = ["segment_tier", "region", "risk_profile"]
 
 
 # -- segmentation ---------------------------------------------------------------------------------
-def train_segments(features: DataFrame, k: int = 8, seed: int = 42, cols: list[str] = SEGMENT_FEATURES) -> PipelineModel:
+def train_segments(features: DataFrame, k: int = 8, seed: int = 42, cols: list[str] = SEGMENT_FEATURES,
+                   max_iter: int = 20) -> PipelineModel:
     """Standardised features (mean 0, sd 1) → k-means with k clusters."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=cols, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
-        KMeans(k=k, seed=seed, featuresCol="_std", predictionCol="_cluster", maxIter=40),
+        KMeans(k=k, seed=seed, featuresCol="_std", predictionCol="_cluster", maxIter=max_iter),
     ]).fit(features)
 
 
