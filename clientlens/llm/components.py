@@ -1,0 +1,31 @@
+"""Connected components of a link table by large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import durable
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links(a, b)`` -> ``node, component``: the smallest node reachable, for
+    every node of a link. Each round hangs a node's neighbours on the smallest
+    of them; the number of rounds grows with the logarithm of the largest
+    component, and no round gathers the neighbours of a node: a minimum and a
+    join suffice. Every round is kept in the shared checkpoint folder."""
+    links = durable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        # large star: every larger neighbour of a node hangs on its smallest
+        large = (both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+                 .union(least.where("low < a").select("a", F.col("low").alias("b"))).distinct())
+        # small star: every smaller neighbour and the node itself hang on the smallest
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = durable(large.join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+                        .union(low.select("a", F.col("low").alias("b"))).distinct())
+        if small.count() == links.count() and small.exceptAll(links).isEmpty():
+            return small.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+                small.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        links = small
