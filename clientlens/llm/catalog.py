@@ -32,6 +32,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query("op6_pack")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
