@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, prepare, texts_of
-from .pretokens import broadcast_table, ids_lookup, read_tokenizer
-from .token_counts import PER_TASK, TABLE_SIZE
+from .common import durable, prepare, slices, texts_of
+from .pretokens import id_lookup, read_tokenizer
+from .words import SLICE_BYTES
 
 SEQUENCE = 4096
 END_ID = 1
@@ -27,15 +27,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE, end_i
     """Token pieces of every document, ``end_id`` appended: only documents
     longer than ``capacity`` are cut, into full pieces and a last shorter one."""
     prepare(docs.sparkSession)
-    shared = broadcast_table(docs, read_tokenizer(tokenizer_path), TABLE_SIZE, PER_TASK)
+    shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, end, step = ids_lookup(shared), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        lookup, end = id_lookup(shared), np.array([end_id], "<u4")
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids = lookup.text(text) + end
-                rows += [(doc_id, k, at // 4, len(part := ids[at:at + step]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step))]
+            doc_ids, texts = batch.column(0).to_pylist(), [t.encode() for t in texts_of(batch.column(1))]
+            for a, b in slices(map(len, texts), SLICE_BYTES):
+                for doc_id, ids in zip(doc_ids[a:b], lookup.of(texts[a:b]), strict=True):
+                    ids = np.concatenate((ids, end)).astype("<u4", copy=False)
+                    rows += [(doc_id, k, at, len(part := ids[at:at + capacity]), zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), capacity))]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

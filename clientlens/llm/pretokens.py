@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
+from .words import words
 
 #: Fixed value: the split pattern of the word-end BPE vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,7 +50,7 @@ def chunks(text: str) -> list[str]:
 
 def split_chunk(chunk: str) -> list[str] | None:
     """Pre-tokens of a chunk, or None where the library has to be asked."""
-    if "<|" in chunk or len(chunk) > LONGEST_CACHED:
+    if "<|" in chunk or len(chunk) > LONGEST_CACHED or _SEPARATORS.search(chunk):
         return None
     if chunk.isascii():
         return _ASCII.findall(chunk.lower())
@@ -139,37 +140,96 @@ def frequent_pretokens(docs: DataFrame, size: int, per_task: int) -> list[str]:
 
 
 def broadcast_table(docs: DataFrame, tokenizer_json: str, size: int, per_task: int) -> Broadcast:
-    """The frequent pre-tokens with their ids, as one text and two arrays."""
+    """The frequent pre-tokens as one text beside an array of their lengths."""
     tokens = frequent_pretokens(docs, size, per_task)
-    ids = [e.ids for e in _load(tokenizer_json).encode_batch(tokens, add_special_tokens=False)] if tokens else []
-    lengths = np.array([len(x) for x in ids], np.uint16)
-    flat = np.fromiter((i for x in ids for i in x), np.uint32)
-    return docs.sparkSession.sparkContext.broadcast((tokenizer_json, "\n".join(tokens), lengths, flat))
+    lengths = np.array([len(e.ids) for e in _load(tokenizer_json).encode_batch(tokens, add_special_tokens=False)] if tokens else [], np.uint16)
+    return docs.sparkSession.sparkContext.broadcast((tokenizer_json, "\n".join(tokens), lengths))
 
 
 _WORKER: dict = {}
 
 
-def _lookup(shared: Broadcast, kind: str) -> Lookup:
+def length_lookup(shared: Broadcast) -> Lookup:
     """One lookup for each worker process and broadcast."""
-    key = (shared._jid if hasattr(shared, "_jid") else id(shared), kind)
+    key = ("lengths", shared._jid if hasattr(shared, "_jid") else id(shared))
     if key not in _WORKER:
-        json_text, joined, lengths, flat = shared.value
-        tokens = joined.split("\n") if joined else []
+        json_text, joined, lengths = shared.value
         _WORKER.clear()
-        if kind == "length":
-            _WORKER[key] = Lookup(_load(json_text), dict(zip(tokens, lengths.tolist(), strict=True)), len, sum)
-        else:
-            ends = np.cumsum(lengths.astype(np.int64))
-            raw = flat.astype("<u4").tobytes()
-            frequent = {t: raw[4 * (e - n):4 * e] for t, e, n in zip(tokens, ends.tolist(), lengths.tolist(), strict=True)}
-            _WORKER[key] = Lookup(_load(json_text), frequent, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+        _WORKER[key] = Lookup(_load(json_text), dict(zip(joined.split("\n") if joined else [], lengths.tolist(), strict=True)), len, sum)
     return _WORKER[key]
 
 
-def length_lookup(shared: Broadcast) -> Lookup:
-    return _lookup(shared, "length")
-
-
-def ids_lookup(shared: Broadcast) -> Lookup:
-    return _lookup(shared, "ids")
+class IdLookup:
+    """Ids of whole texts, a slice of texts at a time: chunks are found by
+    their 64-bit hash in sorted arrays, and only new ones are looked at one by
+    one. The arrays are this worker's cache, dropped when they grow large."""
+
+    MAIN, RECENT, IDS = 2_000_000, 100_000, 16_000_000
+
+    def __init__(self, json_text: str):
+        self.chunks = Lookup(_load(json_text), {}, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.tiers = [[np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)] for _ in range(2)]
+        self.ids = [np.empty(0, np.uint32)]
+        self.n_ids = 0
+
+    def _encode(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "surrogatepass")
+        parts = split_chunk(text)
+        return self.chunks.encode(text) if parts is None else b"".join(map(self.chunks.pretoken, parts))
+
+    def _find(self, hashes: np.ndarray, start: np.ndarray, length: np.ndarray, todo: np.ndarray, tier: list) -> np.ndarray:
+        keys, starts, lengths = tier
+        if not len(keys) or not len(todo):
+            return todo
+        place = np.minimum(np.searchsorted(keys, hashes[todo]), len(keys) - 1)
+        hit = keys[place] == hashes[todo]
+        start[todo[hit]], length[todo[hit]] = starts[place[hit]], lengths[place[hit]]
+        return todo[~hit]
+
+    @staticmethod
+    def _merged(*tiers: list) -> list:
+        keys, starts, lengths = (np.concatenate(x) for x in zip(*tiers, strict=True))
+        order = np.argsort(keys)
+        return [keys[order], starts[order], lengths[order]]
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.n_ids > self.IDS or len(self.tiers[0][0]) > self.MAIN:
+            self._reset()
+        if len(self.chunks.rare) > CACHE_ENTRIES:
+            self.chunks.rare.clear()
+        w = words(texts)
+        start, length = np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash), np.int64)
+        todo = np.arange(len(w.hash))
+        for tier in self.tiers:
+            todo = self._find(w.hash, start, length, todo, tier)
+        if len(todo):
+            new, first = np.unique(w.hash[todo], return_index=True)
+            raw = w.buffer.tobytes()
+            found = [self._encode(raw[a:b]) for a, b in zip(w.start[todo[first]].tolist(), w.end[todo[first]].tolist(), strict=True)]
+            lengths = np.array([len(x) // 4 for x in found], np.int64)
+            fresh = [new, self.n_ids + np.cumsum(lengths) - lengths, lengths]
+            self.ids.append(np.frombuffer(b"".join(found), np.uint32))
+            self.n_ids += int(lengths.sum())
+            self._find(w.hash, start, length, todo, fresh)
+            self.tiers[1] = self._merged(self.tiers[1], fresh)
+            if len(self.tiers[1][0]) > self.RECENT:
+                self.tiers = [self._merged(*self.tiers), [x[:0] for x in self.tiers[1]]]
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)] if len(self.tiers[1][0]) == 0 or len(self.ids) > 8 else self.ids
+        flat = self.ids[0] if len(self.ids) == 1 else np.concatenate(self.ids)
+        before = np.cumsum(length) - length
+        out = flat[np.repeat(start - before, length) + np.arange(int(length.sum()))]
+        cuts = np.append(before, length.sum())[w.first]
+        return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def id_lookup(tokenizer_json: Broadcast) -> IdLookup:
+    """One lookup for each worker process and tokenizer."""
+    key = ("ids", hash(tokenizer_json.value))
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = IdLookup(tokenizer_json.value)
+    return _WORKER[key]
