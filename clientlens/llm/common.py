@@ -52,3 +52,21 @@ def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
 def with_rows(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
     """``df.select(columns).mapInArrow(fn, schema)``."""
     return df.select(*[F.col(c) for c in columns]).mapInArrow(fn, schema)
+
+
+#: Bits of the filter of :func:`likely`, whatever the input: 2 MB.
+FILTER_BITS = 1 << 24
+
+
+def likely(df: DataFrame, key: str, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids`` (one column), and a few
+    more; with ``keep=False`` the others. A bitmap of fixed size is broadcast,
+    so rows that a later join would drop are dropped before they are shuffled."""
+    slot = F.pmod(F.xxhash64("__id"), F.lit(FILTER_BITS))
+    bitmap = (ids.select(F.col(ids.columns[0]).alias("__id")).where("__id is not null")
+              .select(F.shiftright(slot, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__id), {FILTER_BITS}) & 63 as int))").alias("__bit"))
+              .groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    bitmap = durable(bitmap)
+    own = df.withColumn("__slot", F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)))
+    hit = (F.shiftright("__slot", 6) == F.col("__word")) & (F.expr("shiftright(__bits, cast(__slot & 63 as int)) & 1") == 1)
+    return own.join(F.broadcast(bitmap), hit, "left_semi" if keep else "left_anti").drop("__slot")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, prepare, slices, texts_of
+from .common import durable, likely, prepare, slices, texts_of
 from .suffix_sort import suffix_array
 from .words import SLICE_BYTES, Prefix, scramble
 
@@ -211,7 +211,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     contested = durable(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("anchor"))
     wanted = (classes.join(contested, "anchor").groupBy("r.key", "r.row")
               .agg(F.collect_list(F.struct("anchor", "m", "r.start", "r.windows", "r.back")).alias("own")))
-    cells = durable(find_cells(docs.join(durable(wanted), ["key", "row"]).select("key", "row", "text", "own"), length))
+    wanted = durable(wanted)
+    cells = durable(find_cells(likely(docs, "row", wanted.select("row")).join(wanted, ["key", "row"]).select("key", "row", "text", "own"), length))
     distinct = durable(cells.groupBy("anchor", "core", "whole").agg(F.sum("mass").alias("mass"), F.first("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
                        .withColumn("symbols", F.length("left") + F.length("right") + 2))
     cores = durable(distinct.groupBy("anchor", "core").agg(F.count("*").alias("k"), F.min("mass").alias("least"), F.sum("symbols").alias("all")).where("k > 1 and least = 1").select("anchor", "core", "all"))
@@ -264,5 +265,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             columns = [batch.column(i) if i != place else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(seals, pa.string())], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = source.join(durable(stretches), ["__key", "__row"], "left").select(*names, "__cut")
-    return joined.mapInArrow(cut, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    stretches = durable(stretches)
+    hit = stretches.select("__row")
+    joined = likely(source, "__row", hit).join(stretches, ["__key", "__row"], "left").select(*names, "__cut")
+    others = likely(source, "__row", hit, keep=False).select(*names, F.lit(None).cast(stretches.schema["__cut"].dataType).alias("__cut"))
+    return joined.union(others).mapInArrow(cut, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string")
