@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import preferences, revisits
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op2_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op3_near_duplicates")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
@@ -57,12 +64,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op7_revisits", revisits.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages")))
+    names = ("etag", "last-modified", "content-length", "cache-control", "x-cache")
+    return found.select("record_id", "canonical_url", "ts", "refers_to", "outcome", "status", "digest", *(found["headers"][n].alias(n.replace("-", "_")) for n in names))
+
+
 @query("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op9_preferences", preferences.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = preferences.preference_examples(turns, preferences.consecutive_pairs(turns))
+    return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", preferences.spans_text("chosen_spans").alias("chosen_spans"),
+                        "rejected", preferences.spans_text("rejected_spans").alias("rejected_spans"))
+
+
 @query("op10_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality

@@ -70,3 +70,11 @@ def likely(df: DataFrame, key: str, ids: DataFrame, keep: bool = True) -> DataFr
     own = df.withColumn("__slot", F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)))
     hit = (F.shiftright("__slot", 6) == F.col("__word")) & (F.expr("shiftright(__bits, cast(__slot & 63 as int)) & 1") == 1)
     return own.join(F.broadcast(bitmap), hit, "left_semi" if keep else "left_anti").drop("__slot")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not among ``ids`` (one column); a
+    null key stays. Only rows that may be among them are shuffled."""
+    ids = durable(ids.select(F.col(ids.columns[0]).alias("__gone")).where("__gone is not null").distinct())
+    held = likely(df, key, ids)
+    return likely(df, key, ids, keep=False).union(held.join(ids, held[key] == F.col("__gone"), "left_anti"))

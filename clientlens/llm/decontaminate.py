@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, texts_of
+from .common import prepare, slices, texts_of, without
 from .words import SLICE_BYTES, grams, words
 
 #: Words of the shortest tile, and the share of a benchmark text under tiles
@@ -171,5 +171,4 @@ def _pass(docs: DataFrame, shared: Broadcast, least: int, share: float) -> DataF
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark text; a null doc_id stays."""
-    found = contaminated(docs, benchmark, least, share).where("doc_id is not null").select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__found"), "left_anti")
+    return without(docs, "doc_id", contaminated(docs, benchmark, least, share).select("doc_id"))

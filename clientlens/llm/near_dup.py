@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, prepare, slices, texts_of
+from .common import durable, likely, prepare, slices, texts_of
 from .components import components
 from .words import SLICE_BYTES, scramble, shingle_sets
 
@@ -92,7 +92,8 @@ def _prefix_lists(reps: DataFrame, k: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     num, den = threshold
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = durable(likely(docs.select(F.col("doc_id").alias("id"), "text").where("text is not null"), "id", met))
     both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
@@ -224,7 +225,7 @@ def _within(rows: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int
     x, y = (blocks.select("v", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), F.col("part").alias("part")).alias(c)) for c in ("x", "y"))
     meets = x.join(y, "v").where("x <= y and not (x.own >= 0 and x.own = y.own)").withColumn("meet", F.xxhash64("v", "x", "y"))
     parts = (meets.select("v", "meet", F.explode(F.array_distinct(F.array("x", "y"))).alias("at")).select("v", "meet", F.col("at.own").alias("o"), F.col("at.part").alias("part")))
-    texts = docs.where("text is not null").select(F.col("doc_id").alias("node"), "text")
+    texts = likely(docs.where("text is not null").select(F.col("doc_id").alias("node"), "text"), "node", placed.select("node"))
     texts = placed.join(texts, "node").withColumn("o", F.coalesce("own", F.lit(-1))).join(parts, ["v", "o", "part"]).select("meet", "node", "component", "text")
 
     def look(block: pd.DataFrame) -> pd.DataFrame:

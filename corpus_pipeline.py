@@ -2,26 +2,71 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is
 written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``."""
+last return the columns of ``documents``. Stages read ``doc_id``, ``text`` and
+``lang`` and pass other columns on as they are. Null texts count as empty: they
+fail the quality rules; an empty table goes through as an empty one."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clientlens.llm.catalog import tokenizer_path
-from clientlens.llm.common import table
+from clientlens.llm.common import durable, likely, table, without
+from clientlens.llm.decontaminate import without_contaminated
+from clientlens.llm.near_dup import near_duplicates
 from clientlens.llm.packing import pack
+from clientlens.llm.quality import quality
+from clientlens.llm.suffix_dedup import remove_repeats
 from clientlens.session import ensure_checkpoint_dir
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the word rules or their language's perplexity band reject go.
+    A row is judged by itself, also where another has its doc_id."""
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    judged = quality(keyed.select(F.col("__row").alias("doc_id"), "text", "lang"))
+    return without(keyed, "__row", judged.where("not kept").select("doc_id")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five-word shingles,
+    a similarity of 0.8), the one with the smallest doc_id; of rows that repeat
+    a doc_id the one whose columns come first."""
+    found = durable(near_duplicates(docs, shingle=5))
+    left = without(docs, "doc_id", found.where("not kept and doc_id is not null").select("doc_id"))
+    twice = durable(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    others = [c for c in docs.columns if c != "doc_id"]
+    again = likely(left, "doc_id", twice)
+    one = (again.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__first"))
+           .select("doc_id", "__first.*").select(*docs.columns))
+    return likely(left, "doc_id", twice, keep=False).union(one).union(again.where("doc_id is null"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 400-byte strings that occur again."""
+    left = remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a text of ``benchmark`` go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, in sequences of 4096 tokens."""
     return pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", best_fit_packing)]
+STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup),
+          ("decontamination", decontamination), ("packing", best_fit_packing)]
 
 #: Suffix sorting and the language model have no form in SQL; tests hold the
 #: rows against brute force.
