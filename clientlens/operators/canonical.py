@@ -139,7 +139,7 @@ class Client360:
             f"CASE WHEN pmod({k}, 3) = 0 THEN concat({_sql_pick(k, LANGUAGES)}, '|', {_sql_pick(f'{k} + 3', LANGUAGES)}) "
             f"ELSE {_sql_pick(k, LANGUAGES)} END AS languages",
             "concat(lower(regexp_replace(c_name, '#', '.')), '@example.com') AS email",
-            f"format_string('+41 %07d', pmod({k} * 7919, 10000000)) AS phone",
+            f"format_string('+41 %012d', {k} * 7919) AS phone",
             f"format_string('%d Lake Road', pmod({k}, 97) + 1) AS address_line",
             "n_name AS city",
             f"format_string('ADV_%06d', pmod({k}, {ADVISOR_POOL})) AS primary_advisor_id",

@@ -40,7 +40,8 @@ def chunk(df: DataFrame, text_col: str, size: int = 200, overlap: int = 40, id_c
     """Whole text → fixed-size, overlapping word windows (every word is in a chunk).
 
     Output: the input columns, ``chunk_no`` (0-based), ``chunk_text`` and a
-    numeric ``chunk_id = id * 10^7 + chunk_no``.
+    numeric ``chunk_id = id * 10^7 + chunk_no``; ids and chunk numbers for which
+    that is not unique or does not fit raise an error.
     """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
@@ -54,4 +55,6 @@ def chunk(df: DataFrame, text_col: str, size: int = 200, overlap: int = 40, id_c
         f"s -> array_join(slice(_w, s + 1, {size}), ' '))")
     return (df.withColumn("_w", words).withColumn("_chunks", chunks).drop("_w")
             .select("*", F.posexplode("_chunks").alias("chunk_no", "chunk_text")).drop("_chunks")
-            .withColumn("chunk_id", F.col(id_col).cast("long") * 10000000 + F.col("chunk_no")))
+            .withColumn("chunk_id", F.when((F.col("chunk_no") < 10_000_000) & F.col(id_col).cast("long").between(0, 900_000_000_000),
+                                           F.col(id_col).cast("long") * 10_000_000 + F.col("chunk_no"))
+                        .otherwise(F.raise_error(F.lit("chunk_id does not fit: id or chunk number too large")).cast("long"))))

@@ -70,7 +70,9 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
     if baseline not in ("population", "complement"):
         raise ValueError("baseline must be 'population' or 'complement'")
     if max_order is None:
-        max_order = d if d <= 8 else 3
+        if d > 8:
+            raise ValueError("more than 8 dimension columns need an explicit max_order: every subset of them is a grouping set")
+        max_order = d
     # Expressions are written as SQL text (``F.expr``): the same plan as the
     # Column API, but one JVM call per expression instead of thousands.
     E = F.expr

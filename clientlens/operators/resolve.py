@@ -6,15 +6,15 @@ materialises candidate *pairs*:
 * **staging** (ER-01/02/03) maps each bank's raw record to canonical
   columns (names un-mutated, dates parsed, countries canonical, e-mail local
   part without trailing digits, phone digits) and unions them;
-* **blocking keys** (ER-04): ``dob|phone``, ``dob|email_local`` and
-  ``dob|name_norm`` (name tokens, lower-cased and sorted).  Two records are
-  linked when they share any key — an exact rule, so no candidate cap is
-  needed and nothing is left out;
-* **clusters** (ER-07): connected components of the record–key bipartite
-  graph by alternating min-label propagation; each round is two grouped
-  aggregations and is checkpointed to the shared checkpoint directory, so
-  lineage stays short and a lost executor costs one round.  A key shared by
-  a third of all rows is just one large group of a partial aggregation;
+* **candidates** (ER-04): records that share an identifying key, ``dob|phone``,
+  ``dob|name_norm`` (name tokens, lower-cased and sorted) or ``dob|email_local``.
+  A local part that different names share identifies nobody and gives no key.
+  Of the records of a key each is a candidate of the first one, so candidates
+  grow with the records, not with the square of a key's size;
+* **links** (ER-06): a candidate pair is scored (name, e-mail, phone, birth
+  date, city; features that a side lacks do not count) and linked only from
+  ``LINK_AT`` on;
+* **clusters** (ER-07): connected components of the links;
 * **scores** (ER-06): every record against its cluster's golden record
   (Levenshtein name similarity, soundex, e-mail, phone, city, dob) →
   match / review / no — linear in the number of records;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_dmy, parse_iso
 from ..functions.text import canonical_country, canonical_name, digits_only, email_local
-from ..session import ensure_checkpoint_dir
+from .components import connected_components
 
 SOURCE_PRIORITY = {"apex": 0, "summit": 1}
 STAGED_COLUMNS = ["record_id", "source_bank", "source_key", "full_name", "name_norm", "is_entity", "dob",
@@ -39,6 +39,9 @@ STAGED_COLUMNS = ["record_id", "source_bank", "source_key", "full_name", "name_n
                   "email", "email_local", "phone", "address_line", "city", "currency"]
 # Pair-score weights (ours) and decision thresholds.
 SCORE_WEIGHTS = {"name": 0.30, "soundex": 0.10, "email": 0.20, "phone": 0.20, "city": 0.05, "dob": 0.15}
+# Weights and threshold of a link between two records (ours).
+LINK_WEIGHTS = {"name_norm": 0.40, "email_local": 0.15, "phone": 0.20, "dob": 0.15, "city": 0.10}
+LINK_AT = 0.80
 MATCH_AT = 0.80
 REVIEW_AT = 0.50
 
@@ -91,52 +94,55 @@ def inbound(*staged: DataFrame) -> DataFrame:
 
 
 def blocking_keys(records: DataFrame) -> DataFrame:
-    """ER-04: (record_id, key) edges; NULL / empty components give no key."""
+    """ER-04: (record_id, key); NULL / empty components give no key."""
     def key(tag, *cols):
         ok = F.lit(True)
         for c in cols:
             ok = ok & F.col(c).isNotNull() & (F.col(c).cast("string") != "")
         return F.when(ok, F.concat_ws("|", F.lit(tag), *[F.col(c).cast("string") for c in cols]))
-    keys = F.filter(F.array(key("p", "dob", "phone"), key("e", "dob", "email_local"), key("n", "dob", "name_norm")),
-                    lambda x: x.isNotNull())
-    return records.select("record_id", F.explode(keys).alias("key"))
-
-
-def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """ER-07: (record_id, cluster_id) for the record–key bipartite graph.
-
-    Alternating min-label propagation: key label = min label of its records,
-    record label = min label of its keys; runs until no label changes (a
-    ``max_rounds`` bound, if given, raises instead of returning unfinished
-    labels).
-    Each round is checkpointed (reliable checkpoint in the shared directory
-    named by ``spark.checkpoint.dir``)."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select("record_id", "key").distinct().checkpoint()
-    labels = e.select("record_id").distinct().withColumn("label", F.col("record_id")).checkpoint()
-    rounds = 0
-    while True:
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-        key_label = e.join(labels, "record_id").groupBy("key").agg(F.min("label").alias("klabel"))
-        new = (e.join(key_label, "key").groupBy("record_id").agg(F.min("klabel").alias("nl"))
-               .join(labels, "record_id")
-               .select("record_id", F.least("label", "nl").alias("label"), (F.col("nl") < F.col("label")).alias("chg"))
-               .checkpoint())
-        changed = new.filter("chg").limit(1).count()
-        labels = new.select("record_id", "label")
-        if changed == 0:
-            break
-    return labels.select("record_id", F.col("label").alias("cluster_id"))
+    shared = (records.where("email_local is not null").groupBy("email_local")
+              .agg(F.min("name_norm").alias("lo"), F.max("name_norm").alias("hi")).where("lo <> hi").select("email_local"))
+    by_person = F.filter(F.array(key("p", "dob", "phone"), key("n", "dob", "name_norm")), lambda x: x.isNotNull())
+    by_email = records.join(shared, "email_local", "left_anti").select("record_id", key("e", "dob", "email_local").alias("key"))
+    return records.select("record_id", F.explode(by_person).alias("key")).union(by_email.where("key is not null"))
+
+
+def _alike(x, y) -> F.Column:
+    return 1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
+
+
+def link_score(x: str, y: str) -> F.Column:
+    """ER-06: similarity of two records (structs ``x`` and ``y``), 0 to 1, over
+    the features that both have."""
+    total = weight = F.lit(0.0)
+    for name, w in LINK_WEIGHTS.items():
+        a, b = F.col(f"{x}.{name}"), F.col(f"{y}.{name}")
+        both = a.isNotNull() & b.isNotNull()
+        same = (a == b).cast("double") if name in ("dob", "city") else _alike(a, b)
+        total = total + F.when(both, w * same).otherwise(0.0)
+        weight = weight + F.when(both, F.lit(w)).otherwise(0.0)
+    return F.when(weight > 0, total / weight).otherwise(0.0)
+
+
+def scored_links(records: DataFrame) -> DataFrame:
+    """ER-04 + ER-06: candidate pairs (a, b) with their score."""
+    keys = blocking_keys(records)
+    first = keys.groupBy("key").agg(F.min("record_id").alias("b"))
+    pairs = keys.withColumnRenamed("record_id", "a").join(first, "key").where("a <> b").select("a", "b").distinct()
+    have = [c for c in LINK_WEIGHTS if c in records.columns]
+    features = F.struct(*[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in LINK_WEIGHTS])
+    side = records.select("record_id", features.alias("f"))
+    return (pairs.join(side.select(F.col("record_id").alias("a"), F.col("f").alias("x")), "a")
+            .join(side.select(F.col("record_id").alias("b"), F.col("f").alias("y")), "b")
+            .select("a", "b", link_score("x", "y").alias("score")))
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Staged records with their cluster id (records without any key are
+    """Staged records with their cluster id (records without a link are
     their own cluster)."""
-    cc = connected_components(blocking_keys(records))
-    return (records.join(cc, "record_id", "left")
-            .withColumn("cluster_id", F.coalesce("cluster_id", "record_id")))
+    found = connected_components(scored_links(records).where(F.col("score") >= LINK_AT))
+    return (records.join(found.withColumnRenamed("node", "record_id"), "record_id", "left")
+            .withColumn("cluster_id", F.coalesce("component", "record_id")).drop("component"))
 
 
 def golden_records(resolved: DataFrame) -> DataFrame:

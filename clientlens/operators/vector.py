@@ -80,9 +80,13 @@ def _topk_block(k: int, exclude_self: bool, dim: int):
         bid = b["id"].to_numpy()
         if exclude_self:
             D = np.where(qid[:, None] == bid[None, :], np.inf, D)
+        # exactly k a query: (distance, id) as one whole number, so ties go to the smaller id
+        place = np.empty(len(bid), np.int64)
+        place[np.argsort(bid, kind="stable")] = np.arange(len(bid))
+        order = np.where(np.isfinite(D), np.rint(D * 10 ** DIST_DP), 4 * 10 ** DIST_DP).astype(np.int64) * len(bid) + place
         kk = min(k, D.shape[1])
-        kth = np.partition(D, kk - 1, axis=1)[:, kk - 1:kk]
-        rows, cols = np.nonzero(D <= kth)
+        cols = np.argpartition(order, kk - 1, axis=1)[:, :kk].ravel()
+        rows = np.repeat(np.arange(len(D)), kk)
         out = pd.DataFrame({"query_id": qid[rows], "neighbor_id": bid[cols], "distance": D[rows, cols]})
         return out[np.isfinite(out["distance"])]
     return fn

@@ -44,7 +44,8 @@ def export_raw_files(c: Client360, root: str | None = None) -> str:
     root = root or os.path.join(ensure_checkpoint_dir(c.spark), f"raw-{uuid.uuid4().hex[:8]}")
     apex = c.clients.filter(F.instr("source_banks", "apex") > 0).select("client_key")
     summit = c.clients.filter(F.instr("source_banks", "summit") > 0).select("client_key")
-    kunde = F.format_string("A%08d", "client_key")
+    # the fixed-width line has eight digits for the key
+    kunde = F.when(F.col("client_key") < 10 ** 8, F.format_string("A%08d", "client_key")).otherwise(F.raise_error(F.lit("client key too large for the fixed-width file")))
     cif = F.format_string("Summit%09d", "client_key")
     # SRC-01 / SNK-04: CSV, header, quoted fields
     K.write_csv(U.bank_a_raw(c), os.path.join(root, FILES["clients_csv"]))

@@ -66,13 +66,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df, key=None):
-    """Repartition ``df`` only when it has fewer partitions than the cluster
-    can run at once (e.g. one small file feeding CPU-heavy per-row work).
-    Large inputs already split across many partitions are left untouched."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key is not None else df.repartition(target)
+    """``df`` dealt evenly, by ``key`` if given, to as many partitions as the
+    session's shuffles have or the cluster can run at once."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key) if key is not None else df.repartition(n)
 
 
 _SHIPPED: set[int] = set()
