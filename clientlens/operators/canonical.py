@@ -56,7 +56,6 @@ DIVISION_BY_MKTSEGMENT = {
     "AUTOMOBILE": "GWM", "BUILDING": "P&C", "FURNITURE": "Asset Management",
     "HOUSEHOLD": "Investment Bank", "MACHINERY": "GWM",
 }
-ADVISOR_POOL = 10        # advisors 0..9 exist at every scale factor
 UBO_STRIDE = 11          # supplier k is owned by customer 11*k
 
 
@@ -112,6 +111,12 @@ class Client360:
         self.spark = data.spark
         self.as_of = as_of
 
+    @cached_property
+    def advisor_pool(self) -> int:
+        """Advisors that clients are dealt to: all of them (a count from the
+        file's footer)."""
+        return max(1, self.data.supplier.count())
+
     # -- clients --------------------------------------------------------------
     @cached_property
     def clients(self) -> DataFrame:
@@ -142,7 +147,7 @@ class Client360:
             f"format_string('+41 %012d', {k} * 7919) AS phone",
             f"format_string('%d Lake Road', pmod({k}, 97) + 1) AS address_line",
             "n_name AS city",
-            f"format_string('ADV_%06d', pmod({k}, {ADVISOR_POOL})) AS primary_advisor_id",
+            f"format_string('ADV_%06d', pmod({k}, {self.advisor_pool})) AS primary_advisor_id",
             f"CASE WHEN {dual} THEN 'apex|summit' WHEN pmod({k}, 2) = 0 THEN 'apex' ELSE 'summit' END AS source_banks",
             f"{dual} AS dual_banked",
             f"CAST(CAST(CAST(greatest(c_acctbal, 0.0D) AS {MONEY}) * 1000 AS {MONEY}) AS DOUBLE) AS total_aum_usd",

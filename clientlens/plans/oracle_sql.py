@@ -9,7 +9,7 @@ order, so values agree exactly.
 
 from __future__ import annotations
 
-from ..operators.canonical import (ACCOUNT_TYPE_BY_PRIORITY, ADVISOR_POOL, ADVISOR_ROLES, AS_OF,
+from ..operators.canonical import (ACCOUNT_TYPE_BY_PRIORITY, ADVISOR_ROLES, AS_OF,
                                    ASSET_CLASS_BY_PART_TYPE, COUNTERPARTIES, DIVISION_BY_MKTSEGMENT,
                                    ENTITY_TYPES, KYC_BY_KEY_MOD10, LANGUAGES, LAST_FLOW_MONTH,
                                    LIABILITY_ACCOUNT_TYPES, PLATFORMS, RISK_PROFILES,
@@ -55,7 +55,7 @@ SELECT c.c_custkey AS client_key,
        {case_map('c.c_custkey % 10', KYC_BY_KEY_MOD10, 'verified')} AS kyc_status,
        CASE WHEN c.c_custkey % 3 = 0 THEN {pick('c.c_custkey', LANGUAGES)} || '|' || {pick('c.c_custkey + 3', LANGUAGES)}
             ELSE {pick('c.c_custkey', LANGUAGES)} END AS languages,
-       'ADV_' || lpad(CAST(c.c_custkey % {ADVISOR_POOL} AS VARCHAR), 6, '0') AS primary_advisor_id,
+       'ADV_' || lpad(CAST(c.c_custkey % greatest(1, (SELECT COUNT(*) FROM supplier)) AS VARCHAR), 6, '0') AS primary_advisor_id,
        CASE WHEN c.c_custkey % 9 < 2 THEN 'apex|summit' WHEN c.c_custkey % 2 = 0 THEN 'apex' ELSE 'summit' END AS source_banks,
        (c.c_custkey % 9 < 2) AS dual_banked,
        CAST(CAST(CAST(greatest(c.c_acctbal, 0.0) AS {MONEY}) * 1000 AS {MONEY}) AS DOUBLE) AS total_aum_usd,

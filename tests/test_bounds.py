@@ -23,6 +23,7 @@ class Customers:
         self.customer = spark.range(1, n + 1).select(key.alias("c_custkey"), F.format_string("Customer#%09d", key).alias("c_name"), (key % 25).cast("int").alias("c_nationkey"),
                                                      F.lit(100.0).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
         self.nation = spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"), F.concat(F.lit("N"), "id").alias("n_name"), F.lit(0).alias("n_regionkey"))
+        self.supplier = spark.range(10)
         self.region = spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string")
 
 
