@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_cdf, rnd
 
-Y = "decimal(20,8)"
+Y = "decimal(26,8)"  # values up to 10^18
+FIRST_MONTH = 1990 * 12  # months count from here, so that their sums stay small
 
 
 def _single_series_key(ts_col: str) -> F.Column:
@@ -44,8 +45,8 @@ def month_index(c) -> F.Column:
 def _fit(df: DataFrame, ids: list[str], y: str, t: str) -> tuple[DataFrame, DataFrame]:
     """Per-series OLS (exact sums) and per-point residuals."""
     pts = df.select(*ids, F.col(t).cast("date").alias("_t"), F.col(y).cast(Y).alias("_y")) \
-            .withColumn("_x", month_index("_t"))
-    xd = F.col("_x").cast("decimal(12,0)")
+            .withColumn("_x", month_index("_t") - FIRST_MONTH)
+    xd = F.col("_x").cast("decimal(6,0)")
     st = (pts.groupBy(*ids).agg(
         F.count("*").alias("_n"), F.sum(xd).alias("_sx"), F.sum("_y").alias("_sy"),
         F.sum(xd * F.col("_y")).alias("_sxy"), F.sum(xd * xd).alias("_sxx"), F.max("_x").alias("_last"),
@@ -53,7 +54,7 @@ def _fit(df: DataFrame, ids: list[str], y: str, t: str) -> tuple[DataFrame, Data
     # Decimal widths keep every product and difference within 38 digits, so
     # no scale is dropped and the fit is exact up to the final double casts.
     n, sx = F.col("_n").cast("decimal(9,0)"), F.col("_sx").cast("decimal(9,0)")
-    sy, sxy, sxx = F.col("_sy").cast("decimal(26,8)"), F.col("_sxy").cast("decimal(26,8)"), F.col("_sxx").cast("decimal(26,0)")
+    sy, sxy, sxx = F.col("_sy").cast("decimal(28,8)"), F.col("_sxy").cast("decimal(28,8)"), F.col("_sxx").cast("decimal(26,0)")
     num = (n * sxy - sx * sy).cast("double")
     den = (n * sxx - sx * sx).cast("double")
     slope = F.when(den != 0, num / den).otherwise(F.lit(0.0))
@@ -65,7 +66,9 @@ def _fit(df: DataFrame, ids: list[str], y: str, t: str) -> tuple[DataFrame, Data
 
 
 def _season(pts: DataFrame, ids: list[str]) -> DataFrame:
-    return pts.groupBy(*ids, F.month("_t").alias("_moy")).agg(F.avg("_r").alias("_s"))
+    """Seasonal part by calendar month; a month seen once says nothing of the
+    season (its residual would vanish), so it has none."""
+    return pts.groupBy(*ids, F.month("_t").alias("_moy")).agg(F.when(F.count("*") >= 2, F.avg("_r")).otherwise(F.lit(0.0)).alias("_s"))
 
 
 def forecast(df: DataFrame, data_col: str, timestamp_col: str, id_cols: list[str] | None = None,

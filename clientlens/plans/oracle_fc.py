@@ -5,18 +5,19 @@ from __future__ import annotations
 from statistics import NormalDist
 
 from ..operators.canonical import AS_OF
+from ..operators.forecast import FIRST_MONTH
 from .oracle_sql import R, months_before_sql, with_
 
 
 def fit_ctes(src: str, ids: list[str], y: str, t: str) -> list[tuple[str, str]]:
     il = ", ".join(ids)
     return [
-        ("pts0", f"SELECT {il}, CAST({t} AS DATE) AS _t, CAST({y} AS DECIMAL(20,8)) AS _y, "
-                 f"CAST(year({t}) * 12 + month({t}) AS BIGINT) AS _x FROM {src}"),
-        ("st", f"""SELECT {il}, COUNT(*) AS _n, SUM(CAST(_x AS DECIMAL(12,0))) AS _sx, SUM(_y) AS _sy,
-                  SUM(CAST(_x AS DECIMAL(12,0)) * _y) AS _sxy, SUM(CAST(_x AS DECIMAL(12,0)) * CAST(_x AS DECIMAL(12,0))) AS _sxx,
+        ("pts0", f"SELECT {il}, CAST({t} AS DATE) AS _t, CAST({y} AS DECIMAL(26,8)) AS _y, "
+                 f"CAST(year({t}) * 12 + month({t}) - {FIRST_MONTH} AS BIGINT) AS _x FROM {src}"),
+        ("st", f"""SELECT {il}, COUNT(*) AS _n, SUM(CAST(_x AS DECIMAL(6,0))) AS _sx, SUM(_y) AS _sy,
+                  SUM(CAST(_x AS DECIMAL(6,0)) * _y) AS _sxy, SUM(CAST(_x AS DECIMAL(6,0)) * CAST(_x AS DECIMAL(6,0))) AS _sxx,
                   MAX(_x) AS _last, MAX(_t) AS _last_t FROM pts0 GROUP BY {il}"""),
-        ("st1", """SELECT *, CAST(CAST(_n AS DECIMAL(9,0)) * CAST(_sxy AS DECIMAL(26,8)) - CAST(_sx AS DECIMAL(9,0)) * CAST(_sy AS DECIMAL(26,8)) AS DOUBLE) AS _num,
+        ("st1", """SELECT *, CAST(CAST(_n AS DECIMAL(9,0)) * CAST(_sxy AS DECIMAL(28,8)) - CAST(_sx AS DECIMAL(9,0)) * CAST(_sy AS DECIMAL(28,8)) AS DOUBLE) AS _num,
                   CAST(CAST(_n AS DECIMAL(9,0)) * CAST(_sxx AS DECIMAL(26,0)) - CAST(_sx AS DECIMAL(9,0)) * CAST(_sx AS DECIMAL(9,0)) AS DOUBLE) AS _den
                   FROM st"""),
         ("st2", "SELECT *, CASE WHEN _den <> 0 THEN _num / _den ELSE 0.0 END AS _b FROM st1"),
@@ -32,7 +33,7 @@ def forecast_sql(src: str, ids: list[str], y: str, t: str, horizon: int, cl: flo
     z = NormalDist().inv_cdf((1 + cl) / 2)
     il = ", ".join(ids)
     ctes = (extra or []) + fit_ctes(src, ids, y, t) + [
-        ("seas", f"SELECT {il}, month(_t) AS _moy, AVG(_r) AS _s FROM pts GROUP BY {il}, month(_t)"),
+        ("seas", f"SELECT {il}, month(_t) AS _moy, CASE WHEN COUNT(*) >= 2 THEN AVG(_r) ELSE 0.0 END AS _s FROM pts GROUP BY {il}, month(_t)"),
         ("sig", f"SELECT p.{ids[0]}{''.join(', p.' + i for i in ids[1:])}, coalesce(stddev_samp(p._r - s._s), 0.0) AS _sig "
                 f"FROM pts p JOIN seas s ON {' AND '.join(f'p.{i} = s.{i}' for i in ids)} AND month(p._t) = s._moy "
                 f"GROUP BY {', '.join('p.' + i for i in ids)}"),

@@ -9,6 +9,7 @@ from clientlens.operators import resolve as ER
 from clientlens.operators.canonical import Client360
 from clientlens.operators.components import connected_components
 from clientlens.operators.embed import chunk
+from clientlens.operators.forecast import forecast
 from clientlens.operators.keydrivers import key_drivers
 from clientlens.operators.vector import _topk_block
 from clientlens.plans import unify
@@ -68,6 +69,13 @@ def test_chunk_ids_that_do_not_fit_raise(spark):
         chunk(big, "text", id_col="id").collect()
 
 
+def test_forecast_of_very_large_values_and_of_one_year(spark):
+    rows = [(f"2000-{m:02d}-01", 2e12 + m * 1e9 + (-1) ** m * 5e8) for m in range(1, 13)] + [("2001-01-01", 2.013e12)]
+    out = forecast(spark.createDataFrame(rows, "ts string, v double"), "v", "ts", horizon=3).collect()
+    assert all(r.prediction_interval_lower_bound < r.forecast_value < r.prediction_interval_upper_bound for r in out)
+    assert all(2e12 < r.forecast_value < 2.03e12 for r in out)
+
+
 def test_household_filter_keeps_large_household_numbers(spark):
     ids = spark.createDataFrame([("HH0000000001",), ("HH1000000000",), ("HH_SOLO_5",)], "household_id string")
     assert ids.where(~F.col("household_id").startswith("HH_SOLO_")).count() == 2
