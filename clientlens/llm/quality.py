@@ -2,7 +2,7 @@
 n-gram model.
 
 The model is an interpolated modified Kneser-Ney model of order 5 over the
-characters of each language, counted by Spark over the reference documents:
+characters of each language, its n-grams counted by Spark over the reference documents:
 all that pass the word rules and hold next to no symbols. It is kept as sorted
 arrays of packed n-grams (12 bits a character, so the code of an n-gram is its
 own perfect hash) beside their probabilities; every document is scored with
@@ -160,90 +160,76 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """``lang, gram, n`` of order 5 -> ``lang, k, gram, p, backoff``: for each
-    order k the interpolated modified Kneser-Ney probability of the gram's
-    last character, and the weight left to shorter contexts after the gram
-    (null where nothing follows it). Lower orders count the distinct
-    characters before a gram. Discounts come from the counts of counts of each
-    language and order; where these are too few, 0.5, 0.75 and 0.9 stand in."""
-    orders = {ORDER: durable(counts)}
-    for k in range(ORDER - 1, 0, -1):
-        mask = (1 << (BITS * k)) - 1
-        orders[k] = durable(orders[k + 1].select("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
-
-    model = lower = None
-    for k in range(1, ORDER + 1):
-        own = orders[k].withColumn("context", F.shiftright("gram", BITS))
-        nk = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-        def cut(i, usual):
-            d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-            return F.when(enough, F.greatest(F.lit(0.05), F.least(F.lit(float(i)), d))).otherwise(usual).alias(f"d{i}")
-        discounts = own.groupBy("lang").agg(*nk, F.count("*").alias("types")).select("lang", "types", cut(1, 0.5), cut(2, 0.75), cut(3, 0.9))
-        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = own.join(discounts, "lang").withColumn("d", discount)
-        contexts = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"), F.max("types").alias("v")).withColumn("gamma", F.col("left") / F.col("total"))
-        own = own.select("lang", "context", "gram", "n", "d").join(contexts, ["lang", "context"])
-        if k == 1:
-            own = own.withColumn("lower", 1.0 / (F.col("v") + 1))
-        else:
-            mask = (1 << (BITS * (k - 1))) - 1
-            own = own.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask))).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
-        p = durable(own.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")))
-        weights = contexts.select("lang", F.col("context").alias("gram"), F.col("gamma").alias("backoff"))
-        part = (p.select("lang", F.lit(k).alias("k"), "gram", "p", F.lit(None).cast("double").alias("backoff"))
-                .union(weights.select("lang", F.lit(k - 1).alias("k"), "gram", F.lit(None).cast("double").alias("p"), "backoff")))
-        model, lower = part if model is None else model.union(part), p
-    return model.groupBy("lang", "k", "gram").agg(F.max("p").alias("p"), F.max("backoff").alias("backoff"))
+def _discounts(n: np.ndarray) -> np.ndarray:
+    """The discount of each count, from the counts of counts; where these are
+    too few, 0.5, 0.75 and 0.9 stand in."""
+    n1, n2, n3, n4 = (int((n == i).sum()) for i in (1, 2, 3, 4))
+    usual = [0.5, 0.75, 0.9]
+    if n1 and n2 and n3 and n4:
+        y = n1 / (n1 + 2 * n2)
+        usual = [min(max(d, 0.05), i) for i, d in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
+    return np.array([0, *usual])[np.minimum(n, 3)]
 
 
 class Model:
-    """Sorted arrays of one language: for each order the grams, their log
-    probability and the log weight left after them."""
-
-    def __init__(self, orders: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.orders = orders
+    """Interpolated modified Kneser-Ney model of one language.
+
+    For each order: the sorted packed grams beside the log probability of
+    their last character, and the sorted contexts beside the log weight they
+    leave to shorter ones. Lower orders count the distinct characters before a
+    gram."""
+
+    def __init__(self, grams_: np.ndarray, counts: np.ndarray, order: int):
+        order_of = np.argsort(grams_)
+        own = {order: (grams_[order_of], counts[order_of])}
+        for k in range(order - 1, 0, -1):
+            own[k] = _tally(own[k + 1][0] & np.uint64((1 << (BITS * k)) - 1))
+        self.order, self.size = order, len(own[1][0])
+        self.probability: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.weight: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lower = np.full(self.size, 1 / (self.size + 1))
+        for k in range(1, order + 1):
+            keys, n = own[k]
+            discount = _discounts(n)
+            context = keys >> np.uint64(BITS)
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            repeat = np.diff(np.append(first, len(keys)))
+            total, left = np.add.reduceat(n, first).astype(float), np.add.reduceat(discount, first)
+            if k > 1:
+                shorter = np.searchsorted(own[k - 1][0], keys & np.uint64((1 << (BITS * (k - 1))) - 1))
+                lower = before[shorter]
+            p = (n - discount) / np.repeat(total, repeat) + np.repeat(left / total, repeat) * lower
+            self.probability[k] = (keys, np.log(p).astype(np.float32))
+            self.weight[k] = (context[first], np.log(left / total).astype(np.float32))
+            before = p
 
     def log_p(self, grams_: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each packed gram's last character."""
         total = np.zeros(len(grams_))
         todo = np.arange(len(grams_))
-        for k in range(ORDER, 0, -1):
+        for k in range(self.order, 0, -1):
             code = grams_[todo] & np.uint64((1 << (BITS * k)) - 1)
-            keys, log_p, _ = self.orders[k]
+            keys, log_p = self.probability[k]
             place = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
             found = keys[place] == code
             total[todo[found]] += log_p[place[found]]
-            todo = todo[~found]
+            todo, code = todo[~found], code[~found]
             if not len(todo):
                 return total
-            context = code[~found] >> np.uint64(BITS)
-            keys, _, left = self.orders[k - 1]
-            place = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-            total[todo] += np.where(keys[place] == context, left[place], 0.0)
-        keys = self.orders[1][0]
-        total[todo] -= np.log(len(keys) + 1)
+            keys, left = self.weight[k]
+            place = np.minimum(np.searchsorted(keys, code >> np.uint64(BITS)), len(keys) - 1)
+            total[todo] += np.where(keys[place] == code >> np.uint64(BITS), left[place], 0)
+        total[todo] -= np.log(self.size + 1)
         return total
 
 
-def load_models(rows: DataFrame) -> dict[str, Model]:
-    """The model rows of a few languages as arrays, on the driver."""
-    t = rows.toArrow()
-    lang = np.array(t.column("lang").to_pylist(), object)
-    k, gram = t.column("k").to_numpy(), t.column("gram").to_numpy().astype(np.uint64)
-    with np.errstate(invalid="ignore"):
-        p, left = (np.log(t.column(c).to_numpy()).astype(np.float32) for c in ("p", "backoff"))
-    models = {}
-    for name in set(lang.tolist()):
-        orders = {}
-        for n in range(ORDER + 1):
-            own = np.flatnonzero((lang == name) & (k == n))
-            own = own[np.argsort(gram[own])]
-            orders[n] = (gram[own], np.nan_to_num(p[own]), np.nan_to_num(left[own]))
-        models[name] = Model(orders)
-    return models
+def load_models(counts: DataFrame, order: dict[str, int]) -> dict[str, Model]:
+    """Models of a few languages, from their rows of ``lang, gram, n``."""
+    names = list(order)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang")).cast("int")
+    t = counts.where(F.col("lang").isin(names)).select(place.alias("place"), "gram", "n").toArrow()
+    place, gram, n = (t.column(c).to_numpy() for c in range(3))
+    return {name: Model(gram[place == i].astype(np.uint64), n[place == i], order[name]) for i, name in enumerate(names, 1)}
 
 
 def statistics(docs: DataFrame, models: Broadcast) -> DataFrame:
@@ -291,6 +277,22 @@ def bands(scores: DataFrame, below: float = BELOW, above: float = ABOVE) -> Data
     return middle.join(spread, "lang").select("lang", (F.col("middle") - below * width).alias("low"), (F.col("middle") + above * width).alias("high"))
 
 
+def fitted(counts: DataFrame, rows: int) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """The counts, and the order and number of grams of each language's model:
+    order 5, or where a language has more than ``rows`` 5-grams the largest
+    order that has fewer, its counts added up without the last characters."""
+    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+    orders = {lang: (ORDER, n) for lang, n in sizes.items()}
+    for k in range(ORDER - 1, 0, -1):
+        large = [lang for lang, (_, n) in orders.items() if n > rows]
+        if not large:
+            break
+        shorter = durable(counts.where(F.col("lang").isin(large)).groupBy("lang", F.shiftright("gram", BITS).alias("gram")).agg(F.sum("n").alias("n")))
+        counts = counts.where(~F.col("lang").isin(large)).union(shorter)
+        orders |= {r["lang"]: (k, r["count"]) for r in shorter.groupBy("lang").count().collect()}
+    return counts, orders
+
+
 def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, model_rows: int = MODEL_ROWS) -> DataFrame:
     """``docs(doc_id, text, lang, ...)`` -> ``doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang,
@@ -306,20 +308,20 @@ def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, model_r
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    model = durable(kneser_ney(count_ngrams(docs)))
-    blocks: list[list[str]] = [[]]
+    counts, orders = fitted(durable(count_ngrams(docs)), model_rows)
+    blocks: list[dict[str, int]] = [{}]
     held = 0
-    for r in model.groupBy("lang").count().orderBy("lang").collect():
-        if blocks[-1] and held + r["count"] > model_rows:
-            blocks.append([])
+    for lang, (order, size) in sorted(orders.items()):
+        if blocks[-1] and held + size > model_rows:
+            blocks.append({})
             held = 0
-        blocks[-1].append(r["lang"])
-        held += r["count"]
+        blocks[-1][lang] = order
+        held += size
     scores = None
     for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(load_models(model.where(F.col("lang").isin(block))) if block else {})
+        shared = spark.sparkContext.broadcast(load_models(counts, block) if block else {})
         others = [x for b in blocks for x in b if x not in block]  # the first block also takes languages without a model
-        own = docs.where(~F.col("lang").isin(others)) if k == 0 and others else docs if k == 0 else docs.where(F.col("lang").isin(block))
+        own = docs.where(~F.col("lang").isin(others)) if k == 0 and others else docs if k == 0 else docs.where(F.col("lang").isin(list(block)))
         part = statistics(own, shared)
         scores = part if scores is None else scores.union(part)
     scores = durable(scores)
