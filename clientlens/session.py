@@ -65,6 +65,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def written(df):
+    """``df`` as a Parquet table in the shared checkpoint folder, read again.
+
+    Like a checkpoint it cuts the lineage, and unlike one it also gives the
+    plan the true size: the size that Spark expects of a join is the product of
+    its sides', so in a loop of joins over checkpoints it grows without bound."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df, key=None):
     """``df`` dealt evenly, by ``key`` if given, to as many partitions as the
     session's shuffles have or the cluster can run at once."""
