@@ -2,7 +2,7 @@
 
 Texts with the same shingle set are one class. A class keeps the k smallest
 hashes of its set (bottom-k sketch). Two sets with a similarity of 0.8 or more
-share more than ``0.4 k`` of their retained values but for a chance of about
+share ``0.4 k`` of their retained values or more but for a chance of about
 1e-8 at k = 32 (sets of up to k shingles: always), so with the retained values
 of each class in order of rarity they meet in the inverted list of one of the
 ``k - 0.4 k + 1`` rarest. Lists of frequent values are met only by classes
@@ -11,9 +11,10 @@ whose other retained values are as frequent.
 Within a list, classes are compared with one member of it, the hub, first:
 copies that are near each other are then linked by as many links as there are
 copies. After that only members of different components are compared with each
-other, pair by pair in short lists and by blocks of full sets in long ones.
-Other candidates pass the estimate from the union of both sketches, then the
-exact similarity of the full sets."""
+other, pair by pair in short lists and by blocks in long ones. Candidates pass
+the estimate from the union of both sketches, then the exact similarity of the
+full sets; blocks with very many candidates are held against each other by
+their full sets at once."""
 
 from __future__ import annotations
 
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import durable, likely, prepare, slices, texts_of
-from .components import components
 from .words import SLICE_BYTES, scramble, shingle_sets
 
 K = 32
@@ -34,7 +35,10 @@ K = 32
 SHARED = 0.4
 #: Members up to which the pairs of a list become rows; longer lists are
 #: compared in blocks of about so many members each.
-LIST, BLOCK = 64, 512
+LIST, BLOCK = 6, 768
+#: Pairs for each member of two blocks up to which they become rows; beyond,
+#: the blocks are compared by their full sets.
+DENSE = 3
 #: In a block: sets up to which a value's pairs are counted one by one, and
 #: columns of the incidence matrix multiplied at once.
 RARE, COLUMNS = 6, 4096
@@ -129,56 +133,81 @@ def _to_hubs(rows: DataFrame, order: Column) -> DataFrame:
     """Every member of a list with that list's hub, the member that ``order``
     puts first among those of about the same set size, and of the next size."""
     hubs = durable(rows.groupBy("v", "band").agg(F.min_by("node", order).alias("hub")))
-    meets = rows.select("v", "node", "component", "band").union(rows.select("v", "node", "component", (F.col("band") + 1).alias("band")))
-    return meets.join(hubs, ["v", "band"]).where("hub <> node")
+    meets = rows.select("v", "node", "band").union(rows.select("v", "node", (F.col("band") + 1).alias("band")))
+    return meets.join(hubs, ["v", "band"]).where("hub <> node").select("node", "hub")
 
 
-def similar_links(reps: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int] = (4, 5), k: int = K,
-                  hub_rounds: int = 2) -> DataFrame:
+def similar_links(reps: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int] = (4, 5), k: int = K) -> DataFrame:
     """``reps(node, n, sketch)`` -> ``node, component``: the components of the
-    classes under the similarity."""
+    classes under the similarity, for classes with a link."""
     num, den = threshold
     lists = durable(_prefix_lists(reps, k))
+    reps = durable(reps.join(lists.select("node"), "node", "left_semi"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
     rows = durable(lists.select("node", band.alias("band"), "weight", F.explode(F.expr("slice(vs, 1, take)")).alias("v")))
-    links = seen = None
-    member = None
-    for turn in range(hub_rounds + 1):
-        if member is None:
-            left = rows.withColumn("component", F.col("node"))
-        else:
-            left = rows.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = left.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v")
-            left = durable(left.join(durable(mixed), "v"))
-        extra = None
-        if turn < hub_rounds:
-            order = -F.col("weight") if turn == 0 else F.xxhash64("v", "node", F.lit(turn))
-            met = _to_hubs(left, order)
-            if member is not None:
-                met = met.join(member.select(F.col("node").alias("hub"), F.col("component").alias("of")), "hub", "left").where("not component <=> coalesce(of, hub)")
-            pairs = _ordered(met, "node", "hub")
-        else:
-            sizes = durable(left.groupBy("v").agg(F.count("*").alias("c")))
-            left = durable(left.join(sizes, "v"))
-            pairs = _across(left.where(F.col("c") <= LIST).drop("c"))
-            extra = _within(left.where(F.col("c") > LIST).drop("c"), docs, shingle, threshold)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        seen = pairs if seen is None else seen.union(pairs)
-        found = durable(verify(durable(_candidates(pairs, reps, k, threshold)), docs, shingle, threshold))
-        links = found if links is None else links.union(found)
-        if extra is not None:
-            links = links.union(durable(extra))
-        member = durable(components(links))
-    return member
+    # two hubs a list: the member most like the others, and any one
+    met = _to_hubs(rows, -F.col("weight")).union(_to_hubs(rows, F.xxhash64("v", "node")))
+    pairs = durable(_ordered(met, "node", "hub"))
+    links = durable(verify(durable(_candidates(pairs, reps, k, threshold)), docs, shingle, threshold))
+    member = connected_components(links)
+
+    left = rows.select("v", "node").join(member, "node", "left").select("v", "node", F.coalesce("component", "node").alias("component"))
+    left = durable(left)
+    mixed = durable(left.groupBy("v").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v", "c"))
+    left = durable(left.join(mixed, "v"))
+    placed, meets = _blocks(left.where(F.col("c") > LIST).drop("c"))
+    near = durable(_near_in_blocks(placed, meets, reps, threshold))
+    more = _ordered(_across(left.where(F.col("c") <= LIST)).union(near.where("a is not null").select("a", "b")), "a", "b").join(pairs, ["a", "b"], "left_anti")
+    more = verify(durable(_candidates(durable(more), reps, k, threshold)), docs, shingle, threshold)
+    full = near.where("a is null").select("meet").join(meets, "meet").select("v", "own", "part")
+    full = durable(placed.join(full, ["v", "own", "part"]).select("v", "node", "component").distinct())
+    dense = _within(full, docs, shingle, threshold)
+    return connected_components(links.union(durable(more)).union(durable(dense)))
 
 
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs of members of different components in the short lists."""
     x, y = rows.alias("x"), rows.alias("y")
-    return _ordered(x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-                    .select(F.col("x.node").alias("node"), F.col("y.node").alias("hub")), "node", "hub")
+    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Long lists in blocks of about ``BLOCK`` members: (the members with their
+    block, the pairs of blocks that meet). A component with many members in a
+    list has blocks of its own, which are not held against each other."""
+    sizes = durable(rows.groupBy("v", "component").agg(F.count("*").alias("m")))
+    large = F.col("m") > BLOCK // 4
+    totals = durable(sizes.groupBy("v").agg(F.sum(F.when(large, 0).otherwise(F.col("m"))).alias("others")))
+    placed = durable(rows.join(sizes, ["v", "component"]).join(totals, "v").select(
+        "v", "node", "component", F.when(large, F.col("component")).otherwise(F.lit(-1)).alias("own"),
+        F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("others") / BLOCK))).alias("part")))
+    blocks = durable(placed.select("v", "own", "part").distinct())
+    x, y = (blocks.select("v", F.struct("own", "part").alias(c)) for c in ("x", "y"))
+    meets = x.join(y, "v").where("x <= y and not (x.own >= 0 and x.own = y.own)").withColumn("meet", F.xxhash64("v", "x", "y"))
+    return placed, durable(meets.select("meet", "v", F.explode(F.array_distinct(F.array("x", "y"))).alias("at")).select("meet", "v", "at.own", "at.part"))
+
+
+def _near_in_blocks(placed: DataFrame, meets: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components in meeting blocks whose sketches
+    share enough; where these are many, the number of the meeting instead."""
+    num, den = threshold
+    rows = (placed.join(reps, "node").join(meets, ["v", "own", "part"]).select("meet", "node", "component", "n", "sketch"))
+
+    def look(block: pd.DataFrame) -> pd.DataFrame:
+        sketches = [np.asarray(s, np.int64).astype(np.uint64) for s in block["sketch"]]
+        node, component, n = (block[c].to_numpy() for c in ("node", "component", "n"))
+        m = np.array([max(1, int(SHARED * len(s))) for s in sketches], np.float32)
+        near = _overlaps(sketches) >= np.minimum(m[:, None], m[None, :])
+        near &= component[:, None] < component[None, :]
+        i, j = np.nonzero(near)
+        alike = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+        i, j = i[alike], j[alike]
+        if len(i) > DENSE * len(block):
+            return pd.DataFrame({"meet": block["meet"].iloc[:1], "a": [None], "b": [None]})
+        return pd.DataFrame({"meet": block["meet"].iloc[0], "a": node[i], "b": node[j]})
+
+    return rows.groupBy("meet").applyInPandas(look, "meet long, a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -210,23 +239,18 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _within(rows: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links between members of different components in the long lists, found
-    from the full sets, block by block. A component with many members in a
-    list has blocks of its own, which are not held against each other; only
-    links leave a block, never the pairs looked at."""
+    """Links between members of different components in lists with very many
+    candidates, found from the full sets. Lists that share members are one
+    family, so a text is sent for its family and not for each of its lists;
+    only links leave a block, never the pairs looked at."""
     num, den = threshold
-    sizes = durable(rows.groupBy("v", "component").agg(F.count("*").alias("m")))
-    totals = durable(sizes.groupBy("v").agg(F.sum("m").alias("c")))
-    large = F.col("m") > BLOCK // 4
-    placed = durable(rows.join(sizes, ["v", "component"]).join(totals, "v").select(
-        "v", "node", "component", F.when(large, F.col("component")).alias("own"),
-        F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("c") / BLOCK))).alias("part")))
-    blocks = placed.select("v", "own", "part").distinct()
-    x, y = (blocks.select("v", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), F.col("part").alias("part")).alias(c)) for c in ("x", "y"))
-    meets = x.join(y, "v").where("x <= y and not (x.own >= 0 and x.own = y.own)").withColumn("meet", F.xxhash64("v", "x", "y"))
-    parts = (meets.select("v", "meet", F.explode(F.array_distinct(F.array("x", "y"))).alias("at")).select("v", "meet", F.col("at.own").alias("o"), F.col("at.part").alias("part")))
-    texts = likely(docs.where("text is not null").select(F.col("doc_id").alias("node"), "text"), "node", placed.select("node"))
-    texts = placed.join(texts, "node").withColumn("o", F.coalesce("own", F.lit(-1))).join(parts, ["v", "o", "part"]).select("meet", "node", "component", "text")
+    lists = rows.select(F.col("node").alias("a"), (-1 - F.abs(F.xxhash64("v") % (1 << 62))).alias("b"))  # lists as negative nodes
+    family = connected_components(lists).withColumnRenamed("component", "v")
+    members = durable(rows.select("node", "component").distinct().join(family, "node"))
+    placed, meets = _blocks(members)
+    placed = durable(placed.join(meets, ["v", "own", "part"]).select("meet", "node", "component"))
+    texts = likely(docs.where("text is not null").select(F.col("doc_id").alias("node"), "text"), "node", members.select("node"))
+    texts = placed.join(texts, "node").select("meet", "node", "component", "text")
 
     def look(block: pd.DataFrame) -> pd.DataFrame:
         raw = [t.encode() for t in block["text"]]

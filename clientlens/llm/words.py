@@ -18,7 +18,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 #: Bytes of text handled together: scratch arrays take about 60 times as much.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 
 
 def _chain(multiplier: int, n: int) -> np.ndarray:
