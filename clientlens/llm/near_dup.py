@@ -27,12 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..session import written
 from .common import durable, likely, prepare, slices, texts_of
 from .words import SLICE_BYTES, scramble, shingle_sets
 
 K = 32
 #: Share of the retained values that similar sets have in common at least.
 SHARED = 0.4
+#: Share of the union's own bottom-k that similar sets have in common at least.
+ESTIMATE = 0.44
 #: Members up to which the pairs of a list become rows; longer lists are
 #: compared in blocks of about so many members each.
 LIST, BLOCK = 6, 768
@@ -74,7 +77,7 @@ def estimate(a: Column, b: Column, k: int, threshold: tuple[int, int]) -> Column
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(a, b), union))
     num, den = threshold
-    return F.when(F.size(union) < k, den * both >= num * F.size(union)).otherwise(both >= int(SHARED * k))
+    return F.when(F.size(union) < k, den * both >= num * F.size(union)).otherwise(both >= int(ESTIMATE * k))
 
 
 def _prefix_lists(reps: DataFrame, k: int) -> DataFrame:
@@ -83,10 +86,11 @@ def _prefix_lists(reps: DataFrame, k: int) -> DataFrame:
     the order but open no list. The first ``take`` of ``vs`` open lists.
     ``weight`` adds up how many classes have each of a class's values: in a
     group of copies it is largest for the one that the others resemble most."""
-    values = reps.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    values = reps.select("node", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     least = F.greatest(F.lit(1), F.floor(SHARED * F.col("m")))
-    return (values.join(often, "v").groupBy("node", "n", "m").agg(F.array_sort(F.collect_set(F.struct("df", "v"))).alias("vs"))
+    sizes = reps.select("node", "n", F.size("sketch").alias("m"))
+    return (values.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "v"))).alias("vs")).join(sizes, "node")
             .withColumn("take", (F.col("m") - least + 1 - (F.col("m") - F.size("vs"))).cast("int"))
             .where("take > 0")
             .select("node", "n", F.aggregate("vs", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
@@ -97,7 +101,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int
     """The pairs (a, b) whose full sets are similar enough."""
     num, den = threshold
     met = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = durable(likely(docs.select(F.col("doc_id").alias("id"), "text").where("text is not null"), "id", met))
+    texts = written(likely(docs.select(F.col("doc_id").alias("id"), "text").where("text is not null"), "id", met))
     both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
@@ -129,12 +133,14 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _to_hubs(rows: DataFrame, order: Column) -> DataFrame:
-    """Every member of a list with that list's hub, the member that ``order``
-    puts first among those of about the same set size, and of the next size."""
-    hubs = durable(rows.groupBy("v", "band").agg(F.min_by("node", order).alias("hub")))
+def _to_hubs(rows: DataFrame) -> DataFrame:
+    """(node, hub): every member of a list with two other members of about the
+    same set size, or of the next size: the one most like the others, and one
+    by an order that all lists share, so that lists with the same members have
+    the same hubs."""
+    hubs = durable(rows.groupBy("v", "band").agg(F.min_by("node", -F.col("weight")).alias("first"), F.min_by("node", F.xxhash64("node")).alias("second")))
     meets = rows.select("v", "node", "band").union(rows.select("v", "node", (F.col("band") + 1).alias("band")))
-    return meets.join(hubs, ["v", "band"]).where("hub <> node").select("node", "hub")
+    return meets.join(hubs, ["v", "band"]).select("node", F.explode(F.array_distinct(F.array("first", "second"))).alias("hub")).where("hub <> node")
 
 
 def similar_links(reps: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int] = (4, 5), k: int = K) -> DataFrame:
@@ -145,9 +151,7 @@ def similar_links(reps: DataFrame, docs: DataFrame, shingle: int, threshold: tup
     reps = durable(reps.join(lists.select("node"), "node", "left_semi"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
     rows = durable(lists.select("node", band.alias("band"), "weight", F.explode(F.expr("slice(vs, 1, take)")).alias("v")))
-    # two hubs a list: the member most like the others, and any one
-    met = _to_hubs(rows, -F.col("weight")).union(_to_hubs(rows, F.xxhash64("v", "node")))
-    pairs = durable(_ordered(met, "node", "hub"))
+    pairs = durable(_ordered(_to_hubs(rows), "node", "hub"))
     links = durable(verify(durable(_candidates(pairs, reps, k, threshold)), docs, shingle, threshold))
     member = connected_components(links)
 
