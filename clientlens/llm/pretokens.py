@@ -150,10 +150,10 @@ _WORKER: dict = {}
 
 
 def length_lookup(shared: Broadcast) -> Lookup:
-    """One lookup for each worker process and broadcast."""
-    key = ("lengths", shared._jid if hasattr(shared, "_jid") else id(shared))
+    """One lookup for each worker process, tokenizer and table."""
+    json_text, joined, lengths = shared.value
+    key = ("lengths", hash(json_text), hash(joined))
     if key not in _WORKER:
-        json_text, joined, lengths = shared.value
         _WORKER.clear()
         _WORKER[key] = Lookup(_load(json_text), dict(zip(joined.split("\n") if joined else [], lengths.tolist(), strict=True)), len, sum)
     return _WORKER[key]
