@@ -164,14 +164,14 @@ class IdLookup:
     their 64-bit hash in sorted arrays, and only new ones are looked at one by
     one. The arrays are this worker's cache, dropped when they grow large."""
 
-    MAIN, RECENT, IDS = 2_000_000, 100_000, 16_000_000
+    MAIN, RECENT, IDS = 1_000_000, 100_000, 6_000_000
 
     def __init__(self, json_text: str):
         self.chunks = Lookup(_load(json_text), {}, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
         self._reset()
 
     def _reset(self) -> None:
-        self.tiers = [[np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)] for _ in range(2)]
+        self.tiers = [[np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)] for _ in range(2)]
         self.ids = [np.empty(0, np.uint32)]
         self.n_ids = 0
 
@@ -198,7 +198,7 @@ class IdLookup:
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.n_ids > self.IDS or len(self.tiers[0][0]) > self.MAIN:
             self._reset()
-        if len(self.chunks.rare) > CACHE_ENTRIES:
+        if len(self.chunks.rare) > CACHE_ENTRIES // 2:
             self.chunks.rare.clear()
         w = words(texts)
         start, length = np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash), np.int64)
@@ -210,7 +210,7 @@ class IdLookup:
             raw = w.buffer.tobytes()
             found = [self._encode(raw[a:b]) for a, b in zip(w.start[todo[first]].tolist(), w.end[todo[first]].tolist(), strict=True)]
             lengths = np.array([len(x) // 4 for x in found], np.int64)
-            fresh = [new, self.n_ids + np.cumsum(lengths) - lengths, lengths]
+            fresh = [new, (self.n_ids + np.cumsum(lengths) - lengths).astype(np.int32), lengths.astype(np.int32)]
             self.ids.append(np.frombuffer(b"".join(found), np.uint32))
             self.n_ids += int(lengths.sum())
             self._find(w.hash, start, length, todo, fresh)

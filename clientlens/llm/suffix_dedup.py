@@ -30,7 +30,7 @@ GRAM = 32
 CELL = 64
 #: Symbols that one suffix array holds; a core with more of them beside it is
 #: compared by hashes of its windows, which are spread over all tasks.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 SEGMENTS = "key long, row long, start long, windows int, back int, anchor long, segment long"
 CELLS = "key long, row long, begin long, n int, anchor long, core long, whole long, mass long, left binary, right binary"
