@@ -7,7 +7,8 @@ all that pass the word rules and hold next to no symbols. It is kept as sorted
 arrays of packed n-grams (12 bits a character, so the code of an n-gram is its
 own perfect hash) beside their probabilities; every document is scored with
 the model of its language, and rejected where its log perplexity a word lies
-outside that language's band."""
+outside that language's band. A language with more n-grams than one broadcast
+holds is scored with the same model in ranges of contexts, one after the other."""
 
 from __future__ import annotations
 
@@ -37,6 +38,8 @@ LEAST_SPREAD = 0.01
 BIN = 0.001
 #: n-grams of the languages that are broadcast together: 16 bytes each.
 MODEL_ROWS = 6_000_000
+#: A range of contexts holds at least so many (one context has up to 4096).
+RANGE_ROWS = 50_000
 #: Distinct n-grams that a task holds before it passes its counts on.
 HELD = 2_000_000
 #: Language of documents that name none.
@@ -161,14 +164,18 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
-    """The discount of each count, from the counts of counts; where these are
-    too few, 0.5, 0.75 and 0.9 stand in."""
-    n1, n2, n3, n4 = (int((n == i).sum()) for i in (1, 2, 3, 4))
+    """The discount of each count."""
+    return _discount_table(*(int((n == i).sum()) for i in (1, 2, 3, 4)))[np.minimum(n, 3)]
+
+
+def _discount_table(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """Discounts of the counts 0, 1, 2 and 3 or more, from the counts of
+    counts; where these are too few, 0.5, 0.75 and 0.9 stand in."""
     usual = [0.5, 0.75, 0.9]
     if n1 and n2 and n3 and n4:
         y = n1 / (n1 + 2 * n2)
         usual = [min(max(d, 0.05), i) for i, d in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
-    return np.array([0, *usual])[np.minimum(n, 3)]
+    return np.array([0, *usual])
 
 
 class Model:
@@ -177,27 +184,29 @@ class Model:
     For each order: the sorted packed grams beside the log probability of
     their last character, and the sorted contexts beside the log weight they
     leave to shorter ones. Lower orders count the distinct characters before a
-    gram."""
+    gram. A model of a range of contexts is given the grams of every order
+    that its contexts need (``shorter``) and the whole language's discounts,
+    and agrees with the whole model on them."""
 
-    def __init__(self, grams_: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, grams_: np.ndarray, counts: np.ndarray, order: int,
+                 shorter: dict[int, tuple[np.ndarray, np.ndarray]] | None = None, discounts: dict[int, np.ndarray] | None = None):
         order_of = np.argsort(grams_)
         own = {order: (grams_[order_of], counts[order_of])}
         for k in range(order - 1, 0, -1):
-            own[k] = _tally(own[k + 1][0] & np.uint64((1 << (BITS * k)) - 1))
+            own[k] = _tally(*shorter[k]) if shorter else _tally(own[k + 1][0] & np.uint64((1 << (BITS * k)) - 1))
         self.order, self.size = order, len(own[1][0])
         self.probability: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.weight: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         lower = np.full(self.size, 1 / (self.size + 1))
         for k in range(1, order + 1):
             keys, n = own[k]
-            discount = _discounts(n)
+            discount = discounts[k][np.minimum(n, 3)] if discounts else _discounts(n)
             context = keys >> np.uint64(BITS)
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
             repeat = np.diff(np.append(first, len(keys)))
             total, left = np.add.reduceat(n, first).astype(float), np.add.reduceat(discount, first)
             if k > 1:
-                shorter = np.searchsorted(own[k - 1][0], keys & np.uint64((1 << (BITS * (k - 1))) - 1))
-                lower = before[shorter]
+                lower = before[np.searchsorted(own[k - 1][0], keys & np.uint64((1 << (BITS * (k - 1))) - 1))]
             p = (n - discount) / np.repeat(total, repeat) + np.repeat(left / total, repeat) * lower
             self.probability[k] = (keys, np.log(p).astype(np.float32))
             self.weight[k] = (context[first], np.log(left / total).astype(np.float32))
@@ -223,18 +232,20 @@ class Model:
         return total
 
 
-def load_models(counts: DataFrame, order: dict[str, int]) -> dict[str, Model]:
+def load_models(counts: DataFrame, names: list[str]) -> dict[str, Model]:
     """Models of a few languages, from their rows of ``lang, gram, n``."""
-    names = list(order)
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang")).cast("int")
     t = counts.where(F.col("lang").isin(names)).select(place.alias("place"), "gram", "n").toArrow()
     place, gram, n = (t.column(c).to_numpy() for c in range(3))
-    return {name: Model(gram[place == i].astype(np.uint64), n[place == i], order[name]) for i, name in enumerate(names, 1)}
+    return {name: Model(gram[place == i].astype(np.uint64), n[place == i], ORDER) for i, name in enumerate(names, 1)}
 
 
 def statistics(docs: DataFrame, models: Broadcast) -> DataFrame:
     """Base statistics of documents, and the log perplexity a word where their
-    language has a model."""
+    language has a model. Columns of ``docs`` after the third (longs) are
+    passed on."""
+    more = docs.columns[3:]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = texts_of(batch.column(1)), batch.column(2).to_pylist()
@@ -250,10 +261,10 @@ def statistics(docs: DataFrame, models: Broadcast) -> DataFrame:
                     mean[np.array(rows) - a] = np.where((counts > 0) & (n_words > 0), -sums / np.maximum(n_words, 1), np.nan)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(x, pa.int64()) for x in base),
-                    pa.array(mean, pa.float64(), mask=np.isnan(mean))],
-                    ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
+                    pa.array(mean, pa.float64(), mask=np.isnan(mean)), *(batch.column(3 + i).slice(a, b - a) for i in range(len(more)))],
+                    ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", *more])
 
-    return docs.mapInArrow(score, f"doc_id long, lang string, {BASE}, log_perplexity double")
+    return docs.mapInArrow(score, f"doc_id long, lang string, {BASE}, log_perplexity double" + "".join(f", {c} long" for c in more))
 
 
 def _base_failed() -> Column:
@@ -277,20 +288,91 @@ def bands(scores: DataFrame, below: float = BELOW, above: float = ABOVE) -> Data
     return middle.join(spread, "lang").select("lang", (F.col("middle") - below * width).alias("low"), (F.col("middle") + above * width).alias("high"))
 
 
-def fitted(counts: DataFrame, rows: int) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """The counts, and the order and number of grams of each language's model:
-    order 5, or where a language has more than ``rows`` 5-grams the largest
-    order that has fewer, its counts added up without the last characters."""
-    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
-    orders = {lang: (ORDER, n) for lang, n in sizes.items()}
+def _backwards(grams_: np.ndarray) -> np.ndarray:
+    """The context of each packed 5-gram, its last character first."""
+    context = grams_ >> np.uint64(BITS)
+    out = np.zeros(len(grams_), np.uint64)
+    for _ in range(ORDER - 1):
+        out = (out << np.uint64(BITS)) | (context & np.uint64((1 << BITS) - 1))
+        context = context >> np.uint64(BITS)
+    return out
+
+
+def _all_orders(counts: DataFrame) -> DataFrame:
+    """``lang, gram, n`` of 5-grams -> ``lang, k, gram, n, first``: grams of
+    every order, and the first backwards context that has theirs at its start."""
+    orders = [counts.select("lang", F.lit(ORDER).alias("k"), "gram", "n")]
     for k in range(ORDER - 1, 0, -1):
-        large = [lang for lang, (_, n) in orders.items() if n > rows]
-        if not large:
-            break
-        shorter = durable(counts.where(F.col("lang").isin(large)).groupBy("lang", F.shiftright("gram", BITS).alias("gram")).agg(F.sum("n").alias("n")))
-        counts = counts.where(~F.col("lang").isin(large)).union(shorter)
-        orders |= {r["lang"]: (k, r["count"]) for r in shorter.groupBy("lang").count().collect()}
-    return counts, orders
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
+        orders.append(durable(orders[-1].groupBy("lang", F.lit(k).alias("k"), shorter.alias("gram")).agg(F.count("*").alias("n"))))
+    first = F.lit(0).cast("long")
+    for i in range(ORDER - 1):
+        first = first.bitwiseOR(F.shiftleft(F.shiftright("gram", BITS * (i + 1)).bitwiseAND(F.lit((1 << BITS) - 1)), BITS * (ORDER - 2 - i)))
+    whole = orders[0]
+    for part in orders[1:]:
+        whole = whole.union(part)
+    return whole.withColumn("first", first)
+
+
+def _load_range(whole: DataFrame, low: int, high: int, discounts: dict[int, np.ndarray]) -> Model:
+    """The model of the contexts from ``low`` to before ``high``, from one
+    language's rows of :func:`_all_orders`."""
+    span = F.expr(f"shiftleft(1L, {BITS} * ({ORDER} - k))")
+    t = whole.where((F.col("first") < high) & (F.col("first") + span > low)).select("k", "gram", "n").toArrow()
+    k, gram, n = (t.column(c).to_numpy() for c in range(3))
+    own = {i: (gram[k == i].astype(np.uint64), n[k == i]) for i in range(1, ORDER + 1)}
+    return Model(*own[ORDER], ORDER, own, discounts)
+
+
+def _range_sums(docs: DataFrame, model: Broadcast, low: int, high: int) -> DataFrame:
+    """``docs(text, k1, k2)`` -> ``k1, k2, total``: for each document with a
+    5-gram, the sum of log probabilities of those whose context is in a range."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in slices(map(len, texts), SLICE_BYTES):
+                codes, counts = _packed(texts[a:b])
+                at = _backwards(codes)
+                inside = (at >= np.uint64(low)) & (at < np.uint64(high))
+                log_p = np.zeros(len(codes))
+                log_p[inside] = model.value.log_p(codes[inside])
+                rows = np.flatnonzero(counts > 0)
+                keys = (batch.column(c).slice(a, b - a).take(pa.array(rows)) for c in (1, 2))
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(_sums(log_p, np.concatenate(([0], np.cumsum(counts))))[rows], pa.float64())], ["k1", "k2", "total"])
+
+    return docs.mapInArrow(score, "k1 long, k2 long, total double")
+
+
+def _in_ranges(docs: DataFrame, counts: DataFrame, sizes: dict[str, int], rows: int) -> DataFrame:
+    """:func:`statistics` of the languages in ``sizes``, whose models are too
+    large for one broadcast: ranges of about ``rows`` 5-grams are broadcast one
+    after the other, and a document's sums are added up by the hash of its text
+    (equal texts have equal sums)."""
+    spark = docs.sparkSession
+    whole = _all_orders(counts.where(F.col("lang").isin(list(sizes))))
+    few = whole.where("n <= 4").groupBy("lang", "k", "n").count().collect()
+    seen = {(r["lang"], r["k"], r["n"]): r["count"] for r in few}
+    keyed = docs.where(F.col("lang").isin(list(sizes))).select("doc_id", "text", "lang", F.xxhash64("lang", "text").alias("k1"), F.xxhash64(F.lit(1), "lang", "text").alias("k2"))
+    sums = None
+    for lang, size in sorted(sizes.items()):
+        n = -(-11 * size // (10 * rows))
+        discounts = {k: _discount_table(*(seen.get((lang, k, i), 0) for i in (1, 2, 3, 4))) for k in range(1, ORDER + 1)}
+        own = whole.where(F.col("lang") == lang)
+        cuts = own.where(F.col("k") == ORDER).select(F.col("first").cast("double").alias("first")).approxQuantile("first", [i / n for i in range(1, n)], 0.02 / n)
+        edges = [0, *sorted({int(c) for c in cuts} - {0}), 1 << (BITS * (ORDER - 1))]
+        texts = keyed.where(F.col("lang") == lang).select("text", "k1", "k2")
+        parts = None
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            shared = spark.sparkContext.broadcast(_load_range(own, low, high, discounts))
+            part = durable(_range_sums(texts, shared, low, high))
+            shared.destroy()
+            parts = part if parts is None else parts.union(part)
+        # a copy of a text has one row for each range
+        total = parts.groupBy("k1", "k2").agg((F.avg("total") * (len(edges) - 1)).alias("total"))
+        sums = total if sums is None else sums.union(total)
+    base = statistics(keyed, spark.sparkContext.broadcast({})).drop("log_perplexity")
+    return base.join(sums, ["k1", "k2"], "left").select(
+        "doc_id", "lang", *(c.split()[0] for c in BASE.split(", ")), F.when(F.col("n_words") > 0, -F.col("total") / F.col("n_words")).alias("log_perplexity"))
 
 
 def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, model_rows: int = MODEL_ROWS) -> DataFrame:
@@ -303,25 +385,31 @@ def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, model_r
     and a log perplexity a word inside the band of the document's language
     (``und`` for a null one, with a model of its own); without a 5-gram, or
     where no reference document has the language, the perplexity is null and
-    the word rules alone decide. A null text is empty. Models of languages beyond ``model_rows`` n-grams are broadcast in
-    turn, so a broadcast holds that many, or those of one language."""
+    the word rules alone decide. A null text is empty. Models of languages
+    beyond ``model_rows`` n-grams are broadcast in turn, and that of one
+    language with more in ranges of its contexts, so a broadcast holds about so
+    many whatever the input; the order is 5 at any size."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    counts, orders = fitted(durable(count_ngrams(docs)), model_rows)
-    blocks: list[dict[str, int]] = [{}]
+    counts = durable(count_ngrams(docs))
+    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+    large = {lang: size for lang, size in sizes.items() if size > max(model_rows, RANGE_ROWS)}
+    blocks: list[list[str]] = [[]]
     held = 0
-    for lang, (order, size) in sorted(orders.items()):
+    for lang, size in sorted(sizes.items()):
+        if lang in large:
+            continue
         if blocks[-1] and held + size > model_rows:
-            blocks.append({})
+            blocks.append([])
             held = 0
-        blocks[-1][lang] = order
+        blocks[-1].append(lang)
         held += size
-    scores = None
+    scores = _in_ranges(docs, counts, large, max(model_rows, RANGE_ROWS)) if large else None
     for k, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(load_models(counts, block) if block else {})
-        others = [x for b in blocks for x in b if x not in block]  # the first block also takes languages without a model
-        own = docs.where(~F.col("lang").isin(others)) if k == 0 and others else docs if k == 0 else docs.where(F.col("lang").isin(list(block)))
+        others = [x for x in sizes if x not in block]  # the first block also takes languages without a model
+        own = docs.where(~F.col("lang").isin(others)) if k == 0 and others else docs if k == 0 else docs.where(F.col("lang").isin(block))
         part = statistics(own, shared)
         scores = part if scores is None else scores.union(part)
     scores = durable(scores)

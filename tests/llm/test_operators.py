@@ -270,6 +270,16 @@ def test_quality_rejects_junk_and_keeps_clean_documents(spark):
     assert rows_of(one.where("kept")) == rows_of(quality(table).select("doc_id", "kept").where("kept"))
 
 
+def test_quality_of_a_large_language_is_that_of_the_whole_model(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit("xx").alias("lang"))
+    table = table.union(table.where("doc_id % 9 = 0")).union(spark.createDataFrame([(-1, None, "xx"), (-2, "abc", "xx"), (-3, "other", "yy")], table.schema))
+    columns = ["doc_id", "n_words", "base_failed", "kept", "lang"]
+    whole, ranges = (quality(table, model_rows=n).orderBy(*columns).toPandas() for n in (6_000_000, 50_000))
+    assert whole[columns].equals(ranges[columns]) and len(whole) == table.count()
+    for c in ("log_perplexity", "low", "high"):
+        np.testing.assert_allclose(ranges[c], whole[c], rtol=1e-9)
+
+
 def test_quality_of_awkward_tables(awkward, nothing):
     found = {(r.doc_id, r.n_words): r for r in quality(awkward).collect()}
     assert len(quality(awkward).collect()) == len(awkward_texts())
