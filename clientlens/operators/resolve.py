@@ -1,7 +1,6 @@
 """Unify & resolve the two banks' clients (ER-01..ER-10).
 
-The reference only describes this step; the design here is ours and never
-materialises candidate *pairs*:
+The reference only describes this step; the design here is ours:
 
 * **staging** (ER-01/02/03) maps each bank's raw record to canonical
   columns (names un-mutated, dates parsed, countries canonical, e-mail local
@@ -9,8 +8,9 @@ materialises candidate *pairs*:
 * **candidates** (ER-04): records that share an identifying key, ``dob|phone``,
   ``dob|name_norm`` (name tokens, lower-cased and sorted) or ``dob|email_local``.
   A local part that different names share identifies nobody and gives no key.
-  Of the records of a key each is a candidate of the first one, so candidates
-  grow with the records, not with the square of a key's size;
+  Copies are linked as such, each other record is a candidate of the key's first
+  one, and those that it does not link are compared with all others of the key,
+  block by block: only strangers under one key cost the square of their number;
 * **links** (ER-06): a candidate pair is scored (name, e-mail, phone, birth
   date, city; features that a side lacks do not count) and linked only from
   ``LINK_AT`` on;
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_dmy, parse_iso
 from ..functions.text import canonical_country, canonical_name, digits_only, email_local
+from ..session import written
 from .components import connected_components
 
 SOURCE_PRIORITY = {"apex": 0, "summit": 1}
@@ -42,6 +43,8 @@ SCORE_WEIGHTS = {"name": 0.30, "soundex": 0.10, "email": 0.20, "phone": 0.20, "c
 # Weights and threshold of a link between two records (ours).
 LINK_WEIGHTS = {"name_norm": 0.40, "email_local": 0.15, "phone": 0.20, "dob": 0.15, "city": 0.10}
 LINK_AT = 0.80
+# Rows of a block of a key's members that are compared with those of another.
+PAIR_BLOCK = 1024
 MATCH_AT = 0.80
 REVIEW_AT = 0.50
 
@@ -125,15 +128,37 @@ def link_score(x: str, y: str) -> F.Column:
 
 
 def scored_links(records: DataFrame) -> DataFrame:
-    """ER-04 + ER-06: candidate pairs (a, b) with their score."""
-    keys = blocking_keys(records)
-    first = keys.groupBy("key").agg(F.min("record_id").alias("b"))
-    pairs = keys.withColumnRenamed("record_id", "a").join(first, "key").where("a <> b").select("a", "b").distinct()
+    """ER-04 + ER-06: pairs (a, b) of a key with their score: copies, each
+    record with the key's first one, and of all others those that link."""
     have = [c for c in LINK_WEIGHTS if c in records.columns]
     features = F.struct(*[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in LINK_WEIGHTS])
-    side = records.select("record_id", features.alias("f"))
-    return (pairs.join(side.select(F.col("record_id").alias("a"), F.col("f").alias("x")), "a")
-            .join(side.select(F.col("record_id").alias("b"), F.col("f").alias("y")), "b")
+    members = written(blocking_keys(records).join(records.select("record_id", features.alias("f")), "record_id").select("key", "record_id", "f"))
+    distinct = written(members.groupBy("key", "f").agg(F.min("record_id").alias("id")))
+    copies = (members.join(distinct, ["key", "f"]).where("record_id <> id")
+              .select(F.col("record_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score")))
+    first = distinct.groupBy("key").agg(F.min(F.struct("id", F.col("f").alias("y"))).alias("first"), F.count("*").alias("n"))
+    star = written(distinct.withColumnRenamed("f", "x").join(first.select("key", "n", F.col("first.id").alias("b"), F.col("first.y").alias("y")), "key")
+                   .where("id <> b").select("key", "n", F.col("id").alias("a"), "x", "b", link_score("x", "y").alias("score")))
+    return copies.union(star.select("a", "b", "score")).union(_links_beside_first(star.where("n > 2")))
+
+
+def _links_beside_first(star: DataFrame) -> DataFrame:
+    """Links of a key's members that the first one does not link, among
+    themselves and with those it does (these are one cluster already). Both
+    sides are cut into blocks of ``PAIR_BLOCK`` rows and all pairs of blocks
+    compared, so a hot key is many bounded groups."""
+    apart = star.where(F.col("score") < LINK_AT)
+    counts = star.groupBy("key").agg(F.count_if(F.col("score") < LINK_AT).alias("apart"), F.count("*").alias("all")).where("apart > 0 and all > 1")
+    blocks = [F.ceil(F.col(c) / PAIR_BLOCK).cast("int") for c in ("apart", "all")]
+    sizes = written(counts.select("key", blocks[0].alias("left"), blocks[1].alias("right")))
+
+    def dealt(rows: DataFrame, own: str, other: str, id_: str, f: str) -> DataFrame:
+        return (rows.join(sizes, "key").withColumn(f"{own}_block", F.pmod(F.xxhash64("a"), F.col(own)))
+                .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - F.lit(1).cast("long"))))
+                .select("key", "left_block", "right_block", F.col("a").alias(id_), F.col("x").alias(f), (F.col("score") < LINK_AT).alias(f"{id_}_apart")))
+
+    pairs = dealt(apart, "left", "right", "a", "x").join(dealt(star, "right", "left", "b", "y"), ["key", "left_block", "right_block"])
+    return (pairs.where("a < b or (a > b and not b_apart)").where(link_score("x", "y") >= LINK_AT)
             .select("a", "b", link_score("x", "y").alias("score")))
 
 

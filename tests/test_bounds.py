@@ -44,6 +44,37 @@ def test_strangers_with_one_key_in_common_stay_apart(spark):
     assert len(set(cluster.values())) == 4
 
 
+def test_every_pair_under_a_hot_default_key_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(ER, "PAIR_BLOCK", 16)
+    dob, phone = "1900-01-01", "0000000000"
+    stranger = lambda i: "".join(chr(97 + (i * p + i // 7) % 26) for p in (3, 5, 7, 11, 17, 19, 23, 25)) + f" {i}"
+    names = [("a:0", "aaaa first"), *((f"m:{i}", stranger(i)) for i in range(1, 120)),
+             ("b:1", "jonathan meyerhof"), ("n:1", "jonathan meyerhoff"),  # one person, not the first record
+             ("c:1", "katharina wolf"), ("z:1", "katharina wolf"), ("z:2", "katharina wolf"),  # copies
+             ("d:1", "aaaa firstxyz"), ("x:1", "aabb firstxyzw")]  # d links with the first record, x with d alone
+    records = spark.createDataFrame([(i, n, n, dob, phone, None, None) for i, n in names],
+                                    "record_id string, full_name string, name_norm string, dob string, phone string, email_local string, city string")
+
+    def score(x, y):
+        d = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, d[0] = d[0], i
+            for j, b in enumerate(y, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (a != b))
+        return (0.40 * (1 - d[-1] / max(len(x), len(y))) + 0.20 + 0.15) / 0.75
+
+    group = {i: i for i, _ in names}
+    for n, (i, x) in enumerate(names):
+        for j, y in names[:n]:
+            if score(x, y) >= ER.LINK_AT:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if v == old else v for k, v in group.items()}
+    cluster = {r.record_id: r.cluster_id for r in ER.resolve(records).collect()}
+    assert cluster == group
+    assert cluster["b:1"] == cluster["n:1"] and cluster["c:1"] == cluster["z:1"] == cluster["z:2"] and cluster["x:1"] == cluster["a:0"]
+    assert score("aaaa first", "aabb firstxyzw") < ER.LINK_AT and len(set(cluster.values())) > 60
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
