@@ -20,6 +20,10 @@ one numpy matrix product and emits only the per-query top-k (ties at the
 k-th distance kept).  Per-query partial lists are merged with a
 ``row_number`` window (partial top-k before the shuffle).
 
+Approximate (IVF) mode probes the ``n_probe`` nearest cells only; given a
+``recall``, it probes as many as a hashed sample of the queries needs to find
+that share of its exact neighbours.
+
 Distances are rounded to 6 decimals and ordered by (distance, id), so the
 result is deterministic.  Zero vectors are treated as orthogonal to every
 vector (distance 1).
@@ -40,6 +44,13 @@ from ..session import ensure_checkpoint_dir, spread
 
 PAIR_SCHEMA = "query_id long, neighbor_id long, distance double"
 DIST_DP = 6
+#: Probes (a query's vector each) that a task holds at once.
+PROBE_ROWS = 10_000
+#: Queries by which the number of probes is found, and what is added to the
+#: recall asked for, as a sample's differs from that of all queries.
+SAMPLE_QUERIES, RECALL_MARGIN = 512, 0.02
+#: Cells that are taken from the row count: its square root, within these.
+LEAST_CELLS, MOST_CELLS = 16, 1024
 
 
 def _unit(mat: np.ndarray) -> np.ndarray:
@@ -63,6 +74,14 @@ def _normalize_batches(it):
         yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "uvec": list(U)})
 
 
+def _cut(it, probes: int):
+    """Batches of so few queries that their probes are ``PROBE_ROWS`` rows at most."""
+    n = max(1, PROBE_ROWS // probes)
+    for pdf in it:
+        for a in range(0, len(pdf), n):
+            yield pdf.iloc[a:a + n]
+
+
 def _centroid_dist(U: np.ndarray, C: np.ndarray) -> np.ndarray:
     """Euclidean distances rows × centroids via one matrix product
     (|u - c|² = |u|² + |c|² - 2 u·c), memory rows × centroids."""
@@ -160,7 +179,7 @@ class CellIndex:
         def near(it):
             cents = bc.value
             p = min(n_probe, len(cents))
-            for pdf in it:
+            for pdf in _cut(it, p):
                 if len(pdf) == 0:
                     continue
                 U = _unit(_stack(pdf["vec"], cents.shape[1]))
@@ -178,7 +197,7 @@ class CellIndex:
 
         def bound(it):
             cents = bc.value
-            for pdf in it:
+            for pdf in _cut(it, len(cents)):
                 if len(pdf) == 0:
                     continue
                 U = _unit(_stack(pdf["vec"], cents.shape[1]))
@@ -221,17 +240,23 @@ def _rank(pairs: DataFrame, k: int) -> DataFrame:
 
 def vector_search(base: DataFrame, query: DataFrame, top_k: int = 5, id_col: str = "id", vec_col: str = "embedding",
                   query_id_col: str | None = None, query_vec_col: str | None = None, exact: bool = True,
-                  n_probe: int = 1, n_cells: int = 16, block: int = 1024, exclude_self: bool = False,
-                  index: CellIndex | None = None) -> DataFrame:
+                  n_probe: int = 1, n_cells: int | None = 16, block: int = 1024, exclude_self: bool = False,
+                  index: CellIndex | None = None, recall: float | None = None) -> DataFrame:
     """Cosine top-k of every query row against ``base``.
 
     Output: query_id, rank (1..k), neighbor_id, distance (6 dp).
-    ``exact=False`` is the IVF search over the ``n_probe`` nearest cells.
+    ``exact=False`` is the IVF search over the ``n_probe`` nearest cells, or
+    with ``recall`` over so many that about this share of the exact neighbours
+    is found. ``n_cells=None`` takes the cells from the row count.
     """
+    if index is None and n_cells is None:
+        n_cells = int(min(MOST_CELLS, max(LEAST_CELLS, base.count() ** 0.5)))
     idx = index or CellIndex(base, id_col, vec_col, n_cells=n_cells, block=block)
     ensure_checkpoint_dir(base.sparkSession)
     q = spread(query.select(F.col(query_id_col or id_col).cast("long").alias("qid"),
                             F.col(query_vec_col or vec_col).cast("array<float>").alias("vec")), "qid")
+    if not exact and recall is not None:
+        n_probe = probes_for(idx, q, top_k, min(1.0, recall + RECALL_MARGIN), exclude_self)
     # Each round's probe list feeds both the block sizing and the probe, and
     # round one's top-k feeds both round two and the final merge: checkpoint
     # them (queries × n_probe and queries × k rows) so no numpy stage runs twice
@@ -248,6 +273,23 @@ def vector_search(base: DataFrame, query: DataFrame, top_k: int = 5, id_col: str
     return _rank(top1.unionByName(second), top_k).select("query_id", "rank", "neighbor_id", "distance")
 
 
+def probes_for(idx: CellIndex, queries: DataFrame, top_k: int, recall: float, exclude_self: bool) -> int:
+    """The fewest nearest cells that hold the share ``recall`` of the exact
+    neighbours of a sample of ``queries(qid, vec)``: a neighbour is found if
+    and only if its cell is probed."""
+    sample = queries.orderBy(F.xxhash64("qid"), "qid").limit(SAMPLE_QUERIES).checkpoint()
+    found = vector_search(queries, sample, top_k, "qid", "vec", exact=True, exclude_self=exclude_self, index=idx)
+    cells = found.join(idx.base.select(F.col("id").alias("neighbor_id"), "cell"), "neighbor_id").select("query_id", "cell").toPandas()
+    if cells.empty:
+        return 1
+    rows = sample.toPandas()
+    distance = _centroid_dist(_unit(_stack(rows["vec"], idx.dim)), idx.centroids)
+    place = np.argsort(np.argsort(distance, axis=1, kind="stable"), axis=1, kind="stable")
+    at = pd.Series(np.arange(len(rows)), index=rows["qid"])[cells["query_id"]].to_numpy()
+    need = np.sort(place[at, cells["cell"].to_numpy()])
+    return int(need[min(len(need), max(1, int(np.ceil(recall * len(need))))) - 1]) + 1
+
+
 PAIR_COLS = ["query_id", "neighbor_id", "distance"]
 
 

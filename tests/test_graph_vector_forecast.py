@@ -61,6 +61,21 @@ def test_vector_search_exact_equals_brute_force(spark):
     assert recall_at_k(ivf, got).collect()[0].recall > 0.8
 
 
+def test_registered_index_search_finds_nine_of_ten_neighbours(spark):
+    from clientlens.plans.registry import queries
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    ids = [r.vec_id for r in vectors.select("vec_id").orderBy("vec_id").collect()]
+    matrix = np.array([r.embedding for r in vectors.orderBy("vec_id").collect()], dtype=np.float64)
+    want = _brute(matrix, ids, 6)
+    found = {}
+    for r in queries()["tvf04_vector_top6_ivf"](spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r.query_id, set()).add(r.neighbor_id)
+    recall = np.mean([len(found[i] & set(want[i])) / 6 for i in ids])
+    said = queries()["tvf04_vector_ivf_recall"](spark, "/root/testdata/sf0.01").first().recall
+    print(f"recall {recall:.4f} of {len(ids)} vectors, said {said:.4f}")
+    assert recall >= 0.9 and abs(said - recall) < 1e-9
+
+
 def test_forecast_pure_trend_and_interval(spark):
     rows = [(f"2020-{m:02d}-01", 10.0 + 2.0 * m) for m in range(1, 13)]
     df = spark.createDataFrame(rows, "month string, v double").withColumn("month", F.to_date("month"))
