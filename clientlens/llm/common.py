@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,28 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@dataclass
+class Table:
+    """A table that :func:`table_of` wrote, and where."""
+
+    rows: DataFrame
+    path: str
+
+
+def table_of(df: DataFrame) -> Table:
+    """``df`` as a Parquet table in the shared checkpoint folder, to be
+    dropped by :func:`drop_table` once what was made of it is written."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Table(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a table written by :func:`table_of`."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes the empty text."""
     return [t or "" for t in column.to_pylist()]
