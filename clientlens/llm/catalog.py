@@ -91,6 +91,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+@query("op11_pu_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pu_quality import score_quality
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op12_vector_codes", vector_codes.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
