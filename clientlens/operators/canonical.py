@@ -26,7 +26,6 @@ from ..sources.testdata import TestData
 # enumerations so operators see the same vocabulary).
 # ---------------------------------------------------------------------------
 AS_OF = "2001-10-15"            # reporting date for all period logic
-LAST_FLOW_MONTH = "2001-10-01"  # last complete month of flows in the data
 SEGMENT_BY_MKTSEGMENT = {
     "AUTOMOBILE": "Affluent", "BUILDING": "HNW", "FURNITURE": "UHNW",
     "HOUSEHOLD": "Family Office", "MACHINERY": "Institutional",
@@ -85,12 +84,6 @@ def _ts_ntz(date_str: str):
     return F.expr(f"TIMESTAMP_NTZ '{date_str} 00:00:00'")
 
 
-def _next_month(date_str: str) -> str:
-    y, m = int(date_str[:4]), int(date_str[5:7])
-    y, m = (y + 1, 1) if m == 12 else (y, m + 1)
-    return f"{y:04d}-{m:02d}-01"
-
-
 def months_before_py(as_of: str, n: int) -> str:
     """First day of the month ``n`` months before as_of's month."""
     y, m = int(as_of[:4]), int(as_of[5:7]) - n
@@ -242,17 +235,16 @@ class Client360:
     def client_flows(self) -> DataFrame:
         """Per client and month: inflow (flag N), outflow (flag R), net = in − out.
 
-        Kept as exact decimals; the last, partial month is excluded.
+        Kept as exact decimals; every month of the data is in.
         """
         return self.client_flows_from(None)
 
     def client_flows_from(self, first_month: str | None) -> DataFrame:
         """``client_flows`` restricted to months ≥ ``first_month`` (a date
-        string).  The bounds are also stated on the raw ship timestamp so they
-        reach the parquet scan as pushed filters (row-group skipping)."""
+        string).  The bound is also stated on the raw ship timestamp so it
+        reaches the parquet scan as a pushed filter (row-group skipping)."""
         d = self.data
         li = d.lineitem.select("l_orderkey", "l_extendedprice", "l_returnflag", "l_shipdate")
-        li = li.filter(F.col("l_shipdate") < _ts_ntz(_next_month(LAST_FLOW_MONTH)))
         if first_month:
             li = li.filter(F.col("l_shipdate") >= _ts_ntz(first_month))
         o = d.orders.select("o_orderkey", "o_custkey")

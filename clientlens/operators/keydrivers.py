@@ -30,12 +30,44 @@ OUTPUT_COLUMNS = ["drivers", "metric_interest", "metric_reference", "difference"
                   "unexpected_difference", "relative_unexpected_difference", "contribution", "apriori_support"]
 
 
-def _dbl(c):
-    return c.cast("double")
+#: Dimensions up to which every subset of them is a grouping set.
+CUBE_DIMENSIONS = 8
 
+NEGATIVE = "key_drivers: negative metric values need min_apriori_support=0"
 
-def _div(a, b):
-    return F.when(b == 0, F.lit(None).cast("double")).otherwise(a / b)
+
+def measures(baseline: str) -> dict[str, str]:
+    """Output column -> SQL over a segment's sums ``_mi, _mr`` and the
+    population's ``_ti, _tr, _abs_leaf``."""
+    def div(a, b):
+        return f"(CASE WHEN ({b}) = 0 THEN CAST(NULL AS DOUBLE) ELSE ({a}) / ({b}) END)"
+    mi, mr, ti, tr = "CAST(_mi AS DOUBLE)", "CAST(_mr AS DOUBLE)", "CAST(_ti AS DOUBLE)", "CAST(_tr AS DOUBLE)"
+    diff = "CAST(_mi - _mr AS DOUBLE)"
+    expected = div(f"{mr} * {ti}", tr) if baseline == "population" else div(f"{mr} * ({ti} - {mi})", f"{tr} - {mr}")
+    return {
+        "metric_interest": mi, "metric_reference": mr, "difference": diff,
+        "relative_difference": div(diff, f"abs({mr})"),
+        "unexpected_difference": f"{mi} - {expected}",
+        "relative_unexpected_difference": div(f"{mi} - {expected}", f"abs({expected})"),
+        "contribution": div(f"abs({diff})", "CAST(_abs_leaf AS DOUBLE)"),
+        "apriori_support": f"greatest({div(mi, ti)}, {div(mr, tr)})",
+    }
+
+
+def selected(out: DataFrame, top_k: int | None, min_apriori_support: float | None) -> DataFrame:
+    """Segments of enough support, the ``top_k`` of largest support, and the
+    population row."""
+    if min_apriori_support is not None:
+        out = out.filter(f"_order = 0 OR apriori_support >= {float(min_apriori_support)!r}")
+    if top_k is not None:
+        # top-k is the feature here: a TakeOrderedAndProject over the segments
+        # (per-partition partial top-k, then a k-row merge), plus the population row.
+        seg = (out.filter("_order > 0")
+               .orderBy(F.col("apriori_support").desc_nulls_last(), F.expr("array_join(drivers, '|')"))
+               .limit(top_k))
+        out = out.filter("_order = 0").unionByName(seg)
+    return out.select(*OUTPUT_COLUMNS, F.col("_order").alias("n_dimensions"),
+                      "population_interest", "population_reference")
 
 
 def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], interest_label_col: str,
@@ -59,7 +91,9 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
     A negative metric value is only accepted with ``min_apriori_support=0``
     (or unset with no ``top_k``); otherwise evaluation raises.
     Pruning drops a segment that selects exactly the rows of a segment with
-    fewer dimensions.  ``top_k`` keeps the k segments of largest support
+    fewer dimensions.  Beyond 8 dimensions without a ``max_order`` the segments
+    are searched level by level (:mod:`.driver_levels`), which a support over 0
+    keeps small.  ``top_k`` keeps the k segments of largest support
     (ties by label), ``min_apriori_support`` keeps support ≥ the bound; the
     ``['all']`` row is always kept.
     """
@@ -70,8 +104,9 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
     if baseline not in ("population", "complement"):
         raise ValueError("baseline must be 'population' or 'complement'")
     if max_order is None:
-        if d > 8:
-            raise ValueError("more than 8 dimension columns need an explicit max_order: every subset of them is a grouping set")
+        if d > CUBE_DIMENSIONS:
+            from .driver_levels import key_drivers_by_levels
+            return key_drivers_by_levels(df, metric_col, dims, interest_label_col, top_k, min_apriori_support, enable_pruning, baseline=baseline)
         max_order = d
     # Expressions are written as SQL text (``F.expr``): the same plan as the
     # Column API, but one JVM call per expression instead of thousands.
@@ -146,41 +181,20 @@ def key_drivers(df: DataFrame, metric_col: str, dimension_cols: list[str], inter
     cube = cube.join(F.broadcast(tot), "_one")
 
     # formulas ----------------------------------------------------------------------------
-    def div(a, b):
-        return f"(CASE WHEN ({b}) = 0 THEN CAST(NULL AS DOUBLE) ELSE ({a}) / ({b}) END)"
-    mi, mr, ti, tr = "CAST(_mi AS DOUBLE)", "CAST(_mr AS DOUBLE)", "CAST(_ti AS DOUBLE)", "CAST(_tr AS DOUBLE)"
-    diff = "CAST(_mi - _mr AS DOUBLE)"
-    expected = div(f"{mr} * {ti}", tr) if baseline == "population" else div(f"{mr} * ({ti} - {mi})", f"{tr} - {mr}")
-    support = f"greatest({div(mi, ti)}, {div(mr, tr)})"
+    formulas = measures(baseline)
     if (min_apriori_support is not None and min_apriori_support == 0) or (min_apriori_support is None and top_k is None):
-        checked = support
+        checked = formulas["apriori_support"]
     else:
-        checked = (f"CASE WHEN _mn < 0 THEN raise_error("
-                   f"'key_drivers: negative metric values need min_apriori_support=0') ELSE {support} END")
+        checked = f"CASE WHEN _mn < 0 THEN raise_error('{NEGATIVE}') ELSE {formulas['apriori_support']} END"
     tokens = ("filter(array(" + ", ".join(f"CASE WHEN _g{j} = 0 THEN concat('{c}=', CAST({bq[j]} AS STRING)) END"
                                           for j, c in enumerate(dims)) + "), x -> x IS NOT NULL)")
     out = cube.select(
         E(f"CASE WHEN size({tokens}) = 0 THEN array('all') ELSE {tokens} END").alias("drivers"),
-        E(mi).alias("metric_interest"), E(mr).alias("metric_reference"), E(diff).alias("difference"),
-        E(div(diff, f"abs({mr})")).alias("relative_difference"),
-        E(f"{mi} - {expected}").alias("unexpected_difference"),
-        E(div(f"{mi} - {expected}", f"abs({expected})")).alias("relative_unexpected_difference"),
-        E(div(f"abs({diff})", "CAST(_abs_leaf AS DOUBLE)")).alias("contribution"),
-        E(checked).alias("apriori_support"),
+        *[E(checked if name == "apriori_support" else sql).alias(name) for name, sql in formulas.items()],
         E(" + ".join(f"(1 - _g{j})" for j in range(d))).alias("_order"),
-        E(ti).alias("population_interest"), E(tr).alias("population_reference"),
+        E("CAST(_ti AS DOUBLE)").alias("population_interest"), E("CAST(_tr AS DOUBLE)").alias("population_reference"),
     )
-    if min_apriori_support is not None:
-        out = out.filter(f"_order = 0 OR apriori_support >= {float(min_apriori_support)!r}")
-    if top_k is not None:
-        # top-k is the feature here: a TakeOrderedAndProject over the segments
-        # (per-partition partial top-k, then a k-row merge), plus the population row.
-        seg = (out.filter("_order > 0")
-               .orderBy(F.col("apriori_support").desc_nulls_last(), E("array_join(drivers, '|')"))
-               .limit(top_k))
-        out = out.filter("_order = 0").unionByName(seg)
-    return out.select(*OUTPUT_COLUMNS, F.col("_order").alias("n_dimensions"),
-                      "population_interest", "population_reference")
+    return selected(out, top_k, min_apriori_support)
 
 
 def flow_drivers_input(clients: DataFrame, flows: DataFrame, as_of: str, recent_months: int = 6,
@@ -208,6 +222,28 @@ def flow_drivers_input(clients: DataFrame, flows: DataFrame, as_of: str, recent_
 
 
 KD_DIMS = ["segment_tier", "region", "booking_centre", "risk_profile", "banking"]
+#: The labels of the tenure bands, by their first day.
+TENURE_BANDS = {0: "under 2 years", 730: "2 to 5 years", 1826: "5 to 10 years", 3652: "10 years and more"}
+#: The five dimensions and seven more of the client table.
+WIDE_DIMS = [*KD_DIMS, "domicile", "kyc_status", "languages", "source_banks", "is_entity", "marketing_consent", "tenure_band"]
+
+
+def tenure_band_sql(days: str = "tenure_days") -> str:
+    """The band of a number of days, as SQL text."""
+    whens = " ".join(f"WHEN {days} >= {first} THEN '{label}'" for first, label in sorted(TENURE_BANDS.items(), reverse=True))
+    return f"(CASE {whens} END)"
+
+
+def wide_drivers_input(clients: DataFrame, flows: DataFrame, as_of: str) -> DataFrame:
+    """As :func:`flow_drivers_input`, with twelve dimensions."""
+    from ..functions.dates import months_before
+    from ..functions.text import banking_label
+    c = clients.select("client_key", *(d for d in WIDE_DIMS if d not in ("banking", "tenure_band")),
+                       banking_label("dual_banked").alias("banking"), F.expr(tenure_band_sql()).alias("tenure_band"))
+    return (flows.filter(F.col("month") >= months_before(as_of, 12)).join(c, "client_key")
+            .select(*WIDE_DIMS, "net_new_money_usd", "inflow_usd", "outflow_usd", (F.col("month") >= months_before(as_of, 6)).alias("is_recent")))
+
+
 # metric id → (column, display label, favourable direction)
 KD_METRICS = {
     "nna": ("net_new_money_usd", "Net New Money", "higher"),

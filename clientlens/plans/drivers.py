@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.numeric import bar_scale, rnd
 from ..functions.text import kv_label, money_label, parse_kv_tokens, signed_pct
 from ..operators.canonical import AS_OF, Client360, months_before_py
-from ..operators.keydrivers import OUTPUT_COLUMNS, KD_DIMS, KD_METRICS, KD_PARAMS, flow_drivers_input, key_drivers
+from ..operators.keydrivers import (KD_DIMS, KD_METRICS, KD_PARAMS, OUTPUT_COLUMNS, WIDE_DIMS, flow_drivers_input,
+                                    key_drivers, wide_drivers_input)
 
 
 def key_drivers_table(c: Client360, metric: str = "nna", as_of: str = AS_OF, **overrides) -> DataFrame:
@@ -20,6 +21,12 @@ def key_drivers_table(c: Client360, metric: str = "nna", as_of: str = AS_OF, **o
     return key_drivers(inp, col, KD_DIMS, "is_recent", **params)
 
 
+def key_drivers_wide(c: Client360, metric: str, min_apriori_support: float, as_of: str = AS_OF) -> DataFrame:
+    """Drivers over twelve client dimensions, by level-wise search."""
+    inp = wide_drivers_input(c.clients, c.client_flows_from(months_before_py(as_of, 12)), as_of)
+    return key_drivers(inp, KD_METRICS[metric][0], WIDE_DIMS, "is_recent", min_apriori_support=min_apriori_support)
+
+
 def flatten_drivers(kd: DataFrame) -> DataFrame:
     """``drivers`` array → ``; ``-joined text (for tabular comparison)."""
     return kd.select(F.array_join("drivers", "; ").alias("drivers"), *OUTPUT_COLUMNS[1:], "n_dimensions")

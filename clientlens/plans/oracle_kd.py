@@ -8,7 +8,7 @@ the Spark operator's constant-dimension formulation.
 from __future__ import annotations
 
 from ..operators.canonical import AS_OF
-from ..operators.keydrivers import KD_DIMS, KD_METRICS
+from ..operators.keydrivers import KD_DIMS, KD_METRICS, WIDE_DIMS, tenure_band_sql
 from .oracle_sql import dbl_div, months_before_sql, with_
 
 BANK = "CASE WHEN c.dual_banked THEN 'Dual-banked (Apex + Summit)' ELSE 'Single-bank' END"
@@ -124,6 +124,38 @@ SELECT _label AS label, _sort AS segment,
 FROM top, pop"""
 
 
+def wide_sql(metric: str, min_support: float, as_of: str = AS_OF) -> str:
+    """Twelve dimensions: the full cube, cut by support and then pruned (what
+    a segment with enough support lies in has enough, too)."""
+    n, col = len(WIDE_DIMS), KD_METRICS[metric][0]
+    derived = {"banking": BANK, "tenure_band": tenure_band_sql("c.tenure_days")}
+    dims = ", ".join(f"CAST({derived.get(x, 'c.' + x)} AS VARCHAR) AS {x}" for x in WIDE_DIMS)
+    dl = ", ".join(WIDE_DIMS)
+
+    def key(skip: int | None = None) -> str:
+        return "concat_ws('; ', " + ", ".join(f"CASE WHEN g{i} = 0 THEN '{x}=' || coalesce({x}, '?') END" for i, x in enumerate(WIDE_DIMS) if i != skip) + ")"
+    mi, mr, ti, tr = "CAST(mi AS DOUBLE)", "CAST(mr AS DOUBLE)", "CAST(t.ti AS DOUBLE)", "CAST(t.tr AS DOUBLE)"
+    diff, expected = "CAST(mi - mr AS DOUBLE)", dbl_div(f"{mr} * {ti}", tr)
+    order = " + ".join(f"(1 - g{i})" for i in range(n))
+    parents = " UNION ALL ".join(f"SELECT key, n, {key(i)} AS parent FROM enough WHERE g{i} = 0" for i in range(n))
+    ctes = [
+        ("inp", f"SELECT {dims}, f.{col} AS m, f.month >= {months_before_sql(as_of, 6)} AS is_recent FROM client_flows f JOIN clients c ON f.client_key = c.client_key "
+                f"WHERE f.month >= {months_before_sql(as_of, 12)}"),
+        ("leaf", f"SELECT {dl}, SUM(CASE WHEN is_recent THEN m ELSE 0 END) AS mi, SUM(CASE WHEN NOT is_recent THEN m ELSE 0 END) AS mr, COUNT(*) AS n FROM inp GROUP BY {dl}"),
+        ("tot", "SELECT SUM(mi) AS ti, SUM(mr) AS tr, SUM(abs(mi - mr)) AS abs_leaf FROM leaf"),
+        ("cube", f"SELECT {dl}, {', '.join(f'grouping({x}) AS g{i}' for i, x in enumerate(WIDE_DIMS))}, SUM(mi) AS mi, SUM(mr) AS mr, SUM(n) AS n FROM leaf GROUP BY CUBE ({dl})"),
+        ("enough", f"SELECT c.*, {key()} AS key, {order} AS n_dims FROM cube c, tot t WHERE {order} = 0 OR greatest({dbl_div(mi, ti)}, {dbl_div(mr, tr)}) >= {float(min_support)}"),
+        ("same", f"SELECT DISTINCT p.key FROM ({parents}) p JOIN enough e ON p.parent = e.key AND p.n = e.n"),
+    ]
+    return with_("clients", "client_flows", extra=ctes) + f"""
+SELECT CASE WHEN key = '' THEN 'all' ELSE key END AS drivers,
+       {mi} AS metric_interest, {mr} AS metric_reference, {diff} AS difference, {dbl_div(diff, f'abs({mr})')} AS relative_difference,
+       {mi} - {expected} AS unexpected_difference, {dbl_div(f'{mi} - {expected}', f'abs({expected})')} AS relative_unexpected_difference,
+       {dbl_div(f'abs({diff})', 'CAST(t.abs_leaf AS DOUBLE)')} AS contribution, greatest({dbl_div(mi, ti)}, {dbl_div(mr, tr)}) AS apriori_support,
+       CAST(n_dims AS INTEGER) AS n_dimensions
+FROM enough, tot t WHERE key NOT IN (SELECT key FROM same)"""
+
+
 def money(x: str) -> str:
     def r(v, k):
         return f"CAST(ROUND(CAST({v} AS DECIMAL(38,10)), {k}) AS DOUBLE)"

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from ..operators.canonical import (ACCOUNT_TYPE_BY_PRIORITY, ADVISOR_ROLES, AS_OF,
                                    ASSET_CLASS_BY_PART_TYPE, COUNTERPARTIES, DIVISION_BY_MKTSEGMENT,
-                                   ENTITY_TYPES, KYC_BY_KEY_MOD10, LANGUAGES, LAST_FLOW_MONTH,
+                                   ENTITY_TYPES, KYC_BY_KEY_MOD10, LANGUAGES,
                                    LIABILITY_ACCOUNT_TYPES, PLATFORMS, RISK_PROFILES,
                                    SEGMENT_BY_MKTSEGMENT, SEGMENT_TIERS, TXN_TYPE_BY_FLAG_STATUS, UBO_STRIDE)
 
@@ -94,7 +94,6 @@ SELECT {cli('o.o_custkey')} AS client_id, o.o_custkey AS client_key,
        SUM(CASE WHEN l.l_returnflag = 'N' THEN CAST(l.l_extendedprice AS {MONEY}) ELSE 0 END) AS inflow_usd,
        SUM(CASE WHEN l.l_returnflag = 'R' THEN CAST(l.l_extendedprice AS {MONEY}) ELSE 0 END) AS outflow_usd
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-WHERE CAST(date_trunc('month', CAST(l.l_shipdate AS DATE)) AS DATE) <= DATE '{LAST_FLOW_MONTH}'
 GROUP BY 1, 2, 3""", []),
     "advisors": (f"""
 SELECT 'ADV_' || lpad(CAST(s.s_suppkey AS VARCHAR), 6, '0') AS advisor_id, s.s_name AS name,

@@ -71,10 +71,21 @@ def written(df):
     Like a checkpoint it cuts the lineage, and unlike one it also gives the
     plan the true size: the size that Spark expects of a join is the product of
     its sides', so in a loop of joins over checkpoints it grows without bound."""
+    return write_table(df)[0]
+
+
+def write_table(df):
+    """``df`` written as by :func:`written`, and the path for :func:`drop_table`."""
     import uuid
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a table of :func:`write_table` that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df, key=None):

@@ -64,3 +64,92 @@ def test_segment_absent_in_one_period(spark):
     kd = {tuple(r.drivers): r for r in key_drivers(frame(spark, rows), "m", DIMS, "recent").collect()}
     fo = kd[("tier=Family Office",)]
     assert fo.metric_reference == 0.0 and fo.relative_difference is None
+
+
+# --- level-wise search ------------------------------------------------------------------
+
+def keyed(kd):
+    return {tuple(r.drivers) + (r.n_dimensions,): tuple(round(v, 9) if isinstance(v, float) else v for v in r[1:]) for r in kd.collect()}
+
+
+def random_rows(seed, n, with_nulls=True, hot=0.0):
+    import random
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        a = "hot" if rng.random() < hot else rng.choice(["HNW", "UHNW", None if with_nulls else "x"])
+        b = rng.choice(["APAC", "EMEA", "AMER"])
+        rows.append((a, b, {"APAC": "Tokyo", "EMEA": "Zurich", "AMER": rng.choice(["Miami", "Lima"])}[b], rng.randint(0, 2), rng.random() < 0.5, float(rng.randint(0, 40)), rng.random() < 0.5))
+    return rows
+
+
+WIDE = "tier string, region string, centre string, band int, flag boolean, m double, recent boolean"
+WIDE_COLS = ["tier", "region", "centre", "band", "flag"]
+
+
+@pytest.mark.parametrize(("support", "pruning"), [(None, True), (0.03, True), (0.2, False)])
+def test_levels_equal_the_cube(spark, support, pruning):
+    from clientlens.operators.driver_levels import key_drivers_by_levels
+    df = spark.createDataFrame(random_rows(1, 300), WIDE)
+    args = {"min_apriori_support": support, "enable_pruning": pruning}
+    levels = key_drivers_by_levels(df, "m", WIDE_COLS, "recent", **args)
+    cube = key_drivers(df, "m", WIDE_COLS, "recent", **args)
+    assert levels.columns == cube.columns
+    # tokens leave null values out, so two segments can share their drivers: compare as lists
+    plain = lambda kd: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in kd.collect())
+    assert plain(levels) == plain(cube)
+
+
+def test_levels_top_k_order_and_baseline(spark):
+    from clientlens.operators.driver_levels import key_drivers_by_levels
+    df = spark.createDataFrame(random_rows(2, 200, with_nulls=False), WIDE)
+    for args in ({"top_k": 7, "max_order": 2}, {"baseline": "complement", "min_apriori_support": 0.1}):
+        assert keyed(key_drivers_by_levels(df, "m", WIDE_COLS, "recent", **args)) == keyed(key_drivers(df, "m", WIDE_COLS, "recent", **args))
+
+
+def test_levels_of_no_rows_and_negative_values(spark):
+    from clientlens.operators.driver_levels import key_drivers_by_levels
+    empty = spark.createDataFrame([], WIDE)
+    assert [r.drivers for r in key_drivers_by_levels(empty, "m", WIDE_COLS, "recent", min_apriori_support=0.1).collect()] == [["all"]]
+    df = spark.createDataFrame(random_rows(3, 60, with_nulls=False), WIDE).withColumn("m", F.col("m") - 10)
+    with pytest.raises(ValueError, match="negative"):
+        key_drivers_by_levels(df, "m", WIDE_COLS, "recent", min_apriori_support=0.1)
+    assert keyed(key_drivers_by_levels(df, "m", WIDE_COLS, "recent", min_apriori_support=0.0)) == keyed(key_drivers(df, "m", WIDE_COLS, "recent", min_apriori_support=0.0))
+
+
+def test_twelve_dimensions_with_a_hot_value(spark):
+    import random
+    rng = random.Random(5)
+    dims = [f"d{j}" for j in range(12)]
+    rows = [tuple("hot" if rng.random() < 0.4 else f"v{rng.randint(0, 9)}" for _ in dims) + (float(rng.randint(1, 9)), rng.random() < 0.5) for _ in range(2000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", m double, recent boolean")
+    found = {tuple(r.drivers): r.apriori_support for r in key_drivers(df, "m", dims, "recent", min_apriori_support=0.05).collect()}
+    # brute force over the item sets that can have the support
+    total = {t: sum(r[12] for r in rows if r[13] is t) for t in (True, False)}
+    level, want = [()], {}
+    while level:
+        grown = []
+        for seg in level:
+            for j in range(seg[-1][0] + 1 if seg else 0, 12):
+                for v in {r[j] for r in rows}:
+                    new = (*seg, (j, v))
+                    own = [r for r in rows if all(r[i] == x for i, x in new)]
+                    support = max(sum(r[12] for r in own if r[13] is t) / total[t] for t in (True, False))
+                    if support >= 0.05:
+                        grown.append(new)
+                        want[tuple(f"d{i}={x}" for i, x in new)] = support
+        level = grown
+    assert set(found) - {("all",)} == set(want) and all(abs(found[k] - s) < 1e-9 for k, s in want.items())
+
+
+def test_levels_work_shrinks_with_support(spark):
+    from clientlens.operators import driver_levels as dl
+    df = spark.createDataFrame(random_rows(4, 400, with_nulls=False), WIDE)
+    n = [dl.key_drivers_by_levels(df, "m", WIDE_COLS, "recent", min_apriori_support=s, enable_pruning=False).count() for s in (0.02, 0.1)]
+    assert n[0] > n[1]
+    joined = dl.BROADCAST_ROWS
+    try:  # the same rows where survivors are joined instead of broadcast
+        dl.BROADCAST_ROWS = 0
+        assert dl.key_drivers_by_levels(df, "m", WIDE_COLS, "recent", min_apriori_support=0.1, enable_pruning=False).count() == n[1]
+    finally:
+        dl.BROADCAST_ROWS = joined
