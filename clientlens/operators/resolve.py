@@ -33,6 +33,7 @@ from ..functions.dates import parse_dmy, parse_iso
 from ..functions.text import canonical_country, canonical_name, digits_only, email_local
 from ..session import written
 from .components import connected_components
+from .similar_pairs import candidate_pairs, fewest_edits, signature
 
 SOURCE_PRIORITY = {"apex": 0, "summit": 1}
 STAGED_COLUMNS = ["record_id", "source_bank", "source_key", "full_name", "name_norm", "is_entity", "dob",
@@ -43,7 +44,9 @@ SCORE_WEIGHTS = {"name": 0.30, "soundex": 0.10, "email": 0.20, "phone": 0.20, "c
 # Weights and threshold of a link between two records (ours).
 LINK_WEIGHTS = {"name_norm": 0.40, "email_local": 0.15, "phone": 0.20, "dob": 0.15, "city": 0.10}
 LINK_AT = 0.80
-# Rows of a block of a key's members that are compared with those of another.
+# Members up to which all pairs of a key are compared.
+FEW = 32
+# Rows of a block of a key's nameless members that are compared with those of another.
 PAIR_BLOCK = 1024
 MATCH_AT = 0.80
 REVIEW_AT = 0.50
@@ -131,7 +134,11 @@ def scored_links(records: DataFrame) -> DataFrame:
     """ER-04 + ER-06: pairs (a, b) of a key with their score: copies, each
     record with the key's first one, and of all others those that link."""
     have = [c for c in LINK_WEIGHTS if c in records.columns]
-    features = F.struct(*[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in LINK_WEIGHTS])
+    def feature(c: str) -> F.Column:
+        # an empty text is a feature that the record lacks
+        own = F.col(c) if c in have else F.lit(None).cast("string")
+        return (F.nullif(own, F.lit("")) if c not in have or dict(records.dtypes)[c] == "string" else own).alias(c)
+    features = F.struct(*[feature(c) for c in LINK_WEIGHTS])
     members = written(blocking_keys(records).join(records.select("record_id", features.alias("f")), "record_id").select("key", "record_id", "f"))
     distinct = written(members.groupBy("key", "f").agg(F.min("record_id").alias("id")))
     copies = (members.join(distinct, ["key", "f"]).where("record_id <> id")
@@ -142,24 +149,84 @@ def scored_links(records: DataFrame) -> DataFrame:
     return copies.union(star.select("a", "b", "score")).union(_links_beside_first(star.where("n > 2")))
 
 
+def _bounds() -> tuple[float, float, float, float]:
+    """What a link asks of its features: similarity of the names in different
+    cities; of names in one city and, third, where a city is not known, each
+    unless the e-mails are alike; and of the e-mails then. The features may lack
+    ``1 - LINK_AT`` of the weight in sum: a different city takes its weight of
+    that, and what a side does not have makes the sum smaller."""
+    name, mail, city, lack = LINK_WEIGHTS["name_norm"], LINK_WEIGHTS["email_local"], LINK_WEIGHTS["city"], 1 - LINK_AT
+    elsewhere = 1 - (lack - city) / name
+    here, unknown = (1 - lack * (1 - mail - c) / name for c in (0, city))
+    mails = min(1 - (lack - name * (1 - here)) / mail, 1 - (lack * (1 - city) - name * (1 - unknown)) / mail)
+    return elsewhere, here, unknown, mails
+
+
 def _links_beside_first(star: DataFrame) -> DataFrame:
     """Links of a key's members that the first one does not link, among
-    themselves and with those it does (these are one cluster already). Both
-    sides are cut into blocks of ``PAIR_BLOCK`` rows and all pairs of blocks
-    compared, so a hot key is many bounded groups."""
-    apart = star.where(F.col("score") < LINK_AT)
-    counts = star.groupBy("key").agg(F.count_if(F.col("score") < LINK_AT).alias("apart"), F.count("*").alias("all")).where("apart > 0 and all > 1")
-    blocks = [F.ceil(F.col(c) / PAIR_BLOCK).cast("int") for c in ("apart", "all")]
-    sizes = written(counts.select("key", blocks[0].alias("left"), blocks[1].alias("right")))
-
-    def dealt(rows: DataFrame, own: str, other: str, id_: str, f: str) -> DataFrame:
-        return (rows.join(sizes, "key").withColumn(f"{own}_block", F.pmod(F.xxhash64("a"), F.col(own)))
-                .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - F.lit(1).cast("long"))))
-                .select("key", "left_block", "right_block", F.col("a").alias(id_), F.col("x").alias(f), (F.col("score") < LINK_AT).alias(f"{id_}_apart")))
-
-    pairs = dealt(apart, "left", "right", "a", "x").join(dealt(star, "right", "left", "b", "y"), ["key", "left_block", "right_block"])
-    return (pairs.where("a < b or (a > b and not b_apart)").where(link_score("x", "y") >= LINK_AT)
-            .select("a", "b", link_score("x", "y").alias("score")))
+    themselves and with those it does (these are one cluster already).
+
+    Keys of up to ``FEW`` members are compared pair by pair. In larger ones the
+    candidates come from the bounds of :func:`_bounds`, by the rarest bigrams
+    of names and e-mails; records without a name are compared with all others
+    of their key, in pairs of blocks of ``PAIR_BLOCK`` rows."""
+    apart = F.col("score") < LINK_AT
+    rows = star.select("key", F.col("a").alias("id"), F.col("x").alias("f"), apart.alias("apart"))
+    sizes = (rows.groupBy("key").agg(F.count_if("apart").alias("n_apart"), F.count("*").alias("n"), F.count_if(F.expr("f.city is null")).alias("no_city"), F.count_if(F.expr("f.name_norm is null")).alias("no_name"))
+             .where("n_apart > 0 and n > 1"))
+    members = written(rows.join(sizes, "key").withColumn("id", F.struct("key", "id")))
+    few, many = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
+    x, y = few.alias("x"), few.alias("y")
+    small = (x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.id < y.id and (x.apart or y.apart)"))
+             .select(F.col("x.id").alias("a"), F.col("x.f").alias("x"), F.col("y.id").alias("b"), F.col("y.f").alias("y")))
+    pairs = hot_candidates(many)
+    one = many.select(F.col("id").alias("a"), F.col("f").alias("x"))
+    other = many.select(F.col("id").alias("b"), F.col("f").alias("y"))
+    large = pairs.join(one, "a").join(other, "b").select("a", "x", "b", "y")
+    found = small.unionByName(large).unionByName(_nameless_pairs(many.where("no_name > 0")))
+    score = link_score("x", "y")
+    return found.where(score >= LINK_AT).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), score.alias("score")).distinct()
+
+
+def hot_candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members(key, id, f, apart, no_city)`` with names that
+    may link: every link is among them (records without a name aside)."""
+    elsewhere, here, unknown, mails = _bounds()
+    named = written(members.where("f.name_norm is not null").select(
+        "key", "id", "f", "apart", F.expr("f.city is null").alias("no_city"), F.expr("no_city > 0").alias("some"),
+        F.expr(signature("f.name_norm")).alias("name"), F.expr(signature("f.email_local")).alias("mail")))
+    in_city = named.where("not no_city").withColumn("block", F.struct("key", F.concat(F.lit("="), "f.city").alias("city")))
+    anywhere = named.withColumn("block", F.struct("key", F.lit("").alias("city")))
+
+    def may_link(city_lacks: float, city_known: bool) -> str:
+        # what name, e-mail and city lack at least, against what all may lack
+        w, lack = LINK_WEIGHTS, 1 - LINK_AT
+        name, mail = (f"{w[f]} * least(1.0D, {fewest_edits('x.' + c, 'y.' + c)} / greatest(x.{c}.n, y.{c}.n))" for f, c in (("name_norm", "name"), ("email_local", "mail")))
+        weight = 1.0 - (0 if city_known else w["city"])
+        no_mail = "x.mail IS NULL OR y.mail IS NULL"
+        return (f"(x.apart or y.apart) and {name} + CASE WHEN {no_mail} THEN 0D ELSE {mail} END + {city_lacks!r}D <= "
+                f"{lack!r}D * ({weight!r}D - CASE WHEN {no_mail} THEN {w['email_local']!r}D ELSE 0D END) + 1e-9D")
+
+    def text(rows: DataFrame, feature: str) -> DataFrame:
+        return rows.withColumn("text", F.col(f"f.{feature}")).where("text is not null").select("block", "id", "text", "apart", "no_city", "name", "mail")
+    same, other, not_known = may_link(0.0, True), may_link(LINK_WEIGHTS["city"], True), f"(x.no_city or y.no_city) and {may_link(0.0, False)}"
+    found = (candidate_pairs(text(anywhere.where("not no_city"), "name_norm"), elsewhere, other)
+             .union(candidate_pairs(text(in_city, "name_norm"), here, same))
+             .union(candidate_pairs(text(in_city, "email_local"), mails, same))
+             .union(candidate_pairs(text(anywhere.where("some"), "name_norm"), unknown, not_known))
+             .union(candidate_pairs(text(anywhere.where("some"), "email_local"), mails, not_known)))
+    return found.select("a", "b").distinct()
+
+
+def _nameless_pairs(members: DataFrame) -> DataFrame:
+    """Records without a name beside all of their key, in pairs of blocks."""
+    blocks = {side: F.ceil(F.col(n) / PAIR_BLOCK) for side, n in (("left", "no_name"), ("right", "n"))}
+
+    def dealt(own: str, other: str, rows: DataFrame, id_: str, f: str) -> DataFrame:
+        return (rows.withColumn(f"{own}_block", F.pmod(F.xxhash64("id"), blocks[own])).withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks[other] - F.lit(1).cast("long"))))
+                .select("key", "left_block", "right_block", F.col("id").alias(id_), F.col("f").alias(f), F.col("apart").alias(f"{id_}_apart")))
+    pairs = dealt("left", "right", members.where("f.name_norm is null"), "a", "x").join(dealt("right", "left", members, "b", "y"), ["key", "left_block", "right_block"])
+    return pairs.where("(a_apart or b_apart) and (a < b or (a > b and y.name_norm is not null))").select("a", "x", "b", "y")
 
 
 def resolve(records: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Results stay right past the sizes at which ids, keys and groups used to wrap."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -45,7 +47,7 @@ def test_strangers_with_one_key_in_common_stay_apart(spark):
 
 
 def test_every_pair_under_a_hot_default_key_is_compared(spark, monkeypatch):
-    monkeypatch.setattr(ER, "PAIR_BLOCK", 16)
+    monkeypatch.setattr(ER, "FEW", 8)
     dob, phone = "1900-01-01", "0000000000"
     stranger = lambda i: "".join(chr(97 + (i * p + i // 7) % 26) for p in (3, 5, 7, 11, 17, 19, 23, 25)) + f" {i}"
     names = [("a:0", "aaaa first"), *((f"m:{i}", stranger(i)) for i in range(1, 120)),
@@ -81,10 +83,10 @@ def test_components_of_chains_stars_and_loops(spark):
     assert found == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1100), 1000), 5000: 5000}
 
 
-def test_nine_dimensions_need_an_order(spark):
+def test_nine_dimensions_need_no_order(spark):
     df = spark.createDataFrame([tuple([str(i)] * 9 + [i > 0, 1.0]) for i in range(2)], [*(f"d{i}" for i in range(9)), "flag", "m"])
-    with pytest.raises(ValueError, match="max_order"):
-        key_drivers(df, "m", [f"d{i}" for i in range(9)], "flag")
+    found = key_drivers(df, "m", [f"d{i}" for i in range(9)], "flag", min_apriori_support=0.5)
+    assert sorted(r.n_dimensions for r in found.collect()) == [0] + [1] * 18  # longer ones select the same rows
 
 
 def test_equal_vectors_give_exactly_k_neighbours():
@@ -130,3 +132,82 @@ def test_a_cluster_without_a_checkpoint_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         entry._local_checkpoint_dir_if_unset(Session())
+
+
+# --- many strangers under one key --------------------------------------------------------
+
+PEOPLE = "record_id string, full_name string, name_norm string, dob string, phone string, email_local string, city string"
+
+
+def people(n, seed, word):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        name = " ".join(sorted(word(rng) for _ in range(2)))
+        city = f"city{rng.randint(0, 24)}" if rng.random() < 0.95 else None
+        out.append((f"r:{i:06d}", name, name, "1900-01-01", "0000000000", name.replace(" ", ".") + str(rng.randint(0, 9)), city))
+    return out
+
+
+def syllables(rng):
+    return "".join(rng.choice(["an", "be", "chi", "do", "el", "fa", "gu", "ha", "is", "jo", "ka", "lu", "mi"]) for _ in range(rng.randint(2, 4)))
+
+
+def letters(rng):
+    return "".join(chr(97 + rng.randint(0, 25)) for _ in range(rng.randint(5, 9)))
+
+
+def plain_score(x, y):
+    def edits(a, b):
+        d = list(range(len(b) + 1))
+        for i, u in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, v in enumerate(b, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (u != v))
+        return d[-1]
+    total = weight = 0.0
+    for name, w in ER.LINK_WEIGHTS.items():
+        a, b = x[name], y[name]
+        if a and b:
+            weight += w
+            total += w * (float(a == b) if name in ("dob", "city") else 1 - edits(a, b) / max(len(a), len(b)))
+    return total / weight if weight else 0.0
+
+
+def test_no_link_under_a_hot_key_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(ER, "FEW", 2)
+    rng, rows = random.Random(3), []
+    base = people(50, 5, syllables) + [("", "x" * 70, "x" * 70, "1900-01-01", "0000000000", "y" * 60, None)] * 3
+    for i in range(180):
+        row = list(rng.choice(base))
+        row[0] = f"r:{i:06d}"
+        for k in (2, 5):  # a few edits in name and e-mail
+            for _ in range(rng.randint(0, 5) if rng.random() < 0.7 else 0):
+                p = rng.randint(0, len(row[k]) - 1)
+                row[k] = row[k][:p] + rng.choice(["", "x", "qq", row[k][p] * 2]) + row[k][p + 1:] or "z"
+        row[5] = rng.choice([None, "", row[5], row[5], row[5], row[5]])
+        row[6] = rng.choice([None, "city1", row[6], row[6], row[6]])
+        row[2] = rng.choice([None, ""] + [row[2]] * 30)
+        rows.append(tuple(row))
+    records = [dict(zip(["record_id", "full_name", "name_norm", "dob", "phone", "email_local", "city"], r)) for r in rows]
+    features = {r["record_id"]: tuple(r[c] or None for c in ER.LINK_WEIGHTS) for r in records}
+    first = {}  # records with equal features are one
+    for r in records:
+        first.setdefault(features[r["record_id"]], r["record_id"])
+    alone = {r["record_id"] for r in records if plain_score(r, records[0]) < ER.LINK_AT}
+    want = {tuple(sorted((first[features[x["record_id"]]], first[features[y["record_id"]]])))
+            for n, x in enumerate(records) for y in records[:n] if plain_score(x, y) >= ER.LINK_AT - 1e-12 and (x["record_id"] in alone or y["record_id"] in alone)}
+    found = {tuple(sorted((first[features[r.a]], first[features[r.b]]))) for r in ER.scored_links(spark.createDataFrame(rows, PEOPLE)).where(F.col("score") >= ER.LINK_AT).collect()}
+    assert {p for p in want if p[0] != p[1]} <= found
+    by_id = {r["record_id"]: r for r in records}
+    assert all(a == b or plain_score(by_id[a], by_id[b]) >= ER.LINK_AT - 1e-9 for a, b in found)
+
+
+def test_compared_pairs_of_a_hot_key_stay_few(spark):
+    compared = {}
+    for n in (1500, 3000):
+        rows = spark.createDataFrame(people(n, 1, letters), PEOPLE)
+        members = rows.select(F.struct(F.lit("k").alias("key"), F.col("record_id").alias("id")).alias("id"), F.lit("k").alias("key"), F.struct(*ER.LINK_WEIGHTS).alias("f"),
+                              F.lit(True).alias("apart"), F.lit(1).alias("no_city"))
+        compared[n] = ER.hot_candidates(members).count()
+    assert all(pairs < 0.0005 * n * (n - 1) / 2 for n, pairs in compared.items())
