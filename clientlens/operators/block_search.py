@@ -56,7 +56,8 @@ def block_top_k(rows: DataFrame, block: str, id_col: str, vec_col: str, k: int =
         return spark.createDataFrame([], found)
     dim, cells = len(first.vec), _cells(base, n_cells)
     shared = spark.sparkContext.broadcast(cells)
-    sizes = base.groupBy("block").agg(F.count("*").alias("block_rows"))
+    sizes, _ = write_table(base.groupBy(F.col("block").alias("name")).agg(F.count("*").alias("block_rows")).withColumn("block", F.monotonically_increasing_id()))
+    base = base.withColumnRenamed("block", "name").join(sizes, "name").drop("name")
 
     def assign(frames):
         for frame in frames:
@@ -67,7 +68,7 @@ def block_top_k(rows: DataFrame, block: str, id_col: str, vec_col: str, k: int =
                 yield pd.DataFrame({"block": frame["block"], "id": frame["id"], "vec": frame["vec"], "cell": cell.astype("int32"),
                                     "away": np.where(whole, 0.0, away[np.arange(len(cell)), np.maximum(cell, 0)])})
 
-    member, member_path = write_table(base.join(sizes, "block").mapInPandas(assign, "block string, id long, vec array<float>, cell int, away double"))
+    member, member_path = write_table(base.mapInPandas(assign, "block long, id long, vec array<float>, cell int, away double"))
     stats, _ = write_table(member.groupBy("block", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")))
     parts = F.ceil(F.col("n") / GROUP_ROWS)
     search = _topk_block(k, True, dim)
@@ -82,12 +83,12 @@ def block_top_k(rows: DataFrame, block: str, id_col: str, vec_col: str, k: int =
              .withColumn("query_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1))).select("block", "cell", "query_part", "part", "id", "vec"))
         keys = ["block", "cell", "query_part", "part"]
 
-        def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             own = search(left, right)
             return pd.DataFrame({"block": [key[0]] * len(own), **{c: own[c] for c in ("query_id", "neighbor_id", "distance")}})
         # both sides may come from the same table: fresh names for one of them
         other = b.select(*(F.col(c).alias(f"{c}_") for c in keys), F.col("id").alias("id"), F.col("vec").alias("vec"))
-        pairs = q.select(*(F.col(c).alias(c) for c in keys), F.col("qid").alias("qid"), F.col("vec").alias("vec")).groupBy(*keys).cogroup(other.groupBy(*(f"{c}_" for c in keys))).applyInPandas(run, f"block string, {_PAIR}")
+        pairs = q.select(*(F.col(c).alias(c) for c in keys), F.col("qid").alias("qid"), F.col("vec").alias("vec")).groupBy(*keys).cogroup(other.groupBy(*(f"{c}_" for c in keys))).applyInPandas(run, f"block long, {_PAIR}")
         best = Window.partitionBy("block", "query_id").orderBy("distance", "neighbor_id")
         return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -104,12 +105,14 @@ def block_top_k(rows: DataFrame, block: str, id_col: str, vec_col: str, k: int =
                 units, cells_ = _unit(_stack(frame["vec"], dim)), shared.value[frame["cell"].to_numpy()]
                 gap = np.sqrt(((units - cells_) ** 2).sum(axis=1))
                 least = np.maximum(0.0, gap - frame["radius"].to_numpy()) ** 2 / 2
-                yield frame.loc[least <= frame["far"].to_numpy() + 10.0 ** -DIST_DP, ["block", "cell", "qid", "vec"]]
+                own = least <= frame["far"].to_numpy() + 10.0 ** -DIST_DP
+                yield frame.loc[own, ["block", "cell", "qid", "vec"]]
 
-    more, more_path = write_table(asked.select("block", "cell", "qid", "vec", "radius", "far").mapInPandas(near, "block string, cell int, qid long, vec array<float>"))
+    more, more_path = write_table(asked.select("block", "cell", "qid", "vec", "radius", "far").mapInPandas(near, "block long, cell int, qid long, vec array<float>"))
     both = one.drop("rank").unionByName(probe(more).drop("rank"))
     best = Window.partitionBy("block", "query_id").orderBy("distance", "neighbor_id")
     out, _ = write_table(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
     for path in (member_path, one_path, more_path):
         drop_table(spark, path)
+    out = out.join(sizes.select("block", "name"), "block").drop("block").withColumnRenamed("name", "block")
     return out.select(F.col("block").cast(rows.schema[block].dataType).alias("block"), "query_id", "rank", "neighbor_id", "distance")

@@ -73,9 +73,9 @@ def anomalies_sql(src: str, ids: list[str], y: str, t: str, thr: float, prefix:
                                          f"{R('_p', 4)} AS anomaly_probability FROM pr")
 
 
-def tvf06_sql() -> str:
-    w, sel = forecast_sql("ts_aum", ["division", "region"], "value", "month", 12, 0.9, ["division", "region"],
-                          prefix=("ts_aum",))
+def tvf06_sql(metric: str = "aum") -> str:
+    src = f"ts_{metric}"
+    w, sel = forecast_sql(src, ["division", "region"], "value", "month", 12, 0.9, ["division", "region"], prefix=(src,))
     return w + f"SELECT {sel} FROM fc"
 
 
@@ -83,9 +83,9 @@ def tvf07_sql() -> str:
     return anomalies_sql("ts_aum", ["division", "region"], "value", "month", 0.95, ("ts_aum",))
 
 
-def rm11_sql(metric: str = "aum") -> str:
-    src = f"ts_{metric}"
-    w, _ = forecast_sql(src, ["division", "region"], "value", "month", 12, 0.9, ["division", "region"], prefix=(src,))
+def rm11_sql(metric: str = "aum", where: str | None = None) -> str:
+    src = f"ts_{metric}" if where is None else f"(SELECT * FROM ts_{metric} WHERE {where})"
+    w, _ = forecast_sql(src, ["division", "region"], "value", "month", 12, 0.9, ["division", "region"], prefix=(f"ts_{metric}",))
     return w + f""",
 hist AS (SELECT strftime(month, '%Y-%m') AS ts, {R('CAST(SUM(CAST(value AS DECIMAL(38,8))) AS DOUBLE)', 2)} AS yhat
          FROM {src} GROUP BY strftime(month, '%Y-%m')),
