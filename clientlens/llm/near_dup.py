@@ -2,8 +2,9 @@
 
 Texts with the same shingle set are one class. A class keeps the k smallest
 hashes of its set (bottom-k sketch). Two sets with a similarity of 0.8 or more
-share ``0.4 k`` of their retained values or more but for a chance of about
-1e-8 at k = 32 (sets of up to k shingles: always), so with the retained values
+share ``0.4 k`` of their retained values or more but for a chance of 2.6e-8 at
+k = 32 (sets of up to k shingles: always); the filter on the union's sketch
+loses another 3.3e-9 at most. So with the retained values
 of each class in order of rarity they meet in the inverted list of one of the
 ``k - 0.4 k + 1`` rarest. Lists of frequent values are met only by classes
 whose other retained values are as frequent.
@@ -35,7 +36,7 @@ K = 32
 #: Share of the retained values that similar sets have in common at least.
 SHARED = 0.4
 #: Share of the union's own bottom-k that similar sets have in common at least.
-ESTIMATE = 0.44
+ESTIMATE = 0.36
 #: Members up to which the pairs of a list become rows; longer lists are
 #: compared in blocks of about so many members each.
 LIST, BLOCK = 6, 768
