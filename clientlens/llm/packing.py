@@ -91,9 +91,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE, end_id:
     """``docs(doc_id, text, ...)`` -> one row per piece: ``doc_id, piece, start,
     length, ids_crc32, sequence_id, offset``.
 
-    Pieces are dealt to blocks of about ``block_tokens`` by a hash of their
-    place, so no key is hot; each block is packed by :func:`place` and leaves
-    at most a few sequences unfilled. Only lengths travel, not ids. A null or
+    Whole pieces are a sequence each and stay where they are. The others are
+    dealt to blocks of about ``block_tokens`` by their place in the table, so no
+    doc_id is hot, null and repeated ones included; each block is packed by
+    :func:`place` and leaves at most a few sequences unfilled. Only lengths
+    travel, not ids. A null or
     empty text is one piece of the end id alone; repeated rows are packed each;
     an empty table gives an empty result."""
     cut = durable(pieces(docs, tokenizer_path, capacity, end_id))
@@ -105,5 +107,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE, end_id:
         where, offset = place(rows["length"].to_numpy(np.int64), capacity)
         return rows.drop(columns="block").assign(sequence_id=where * n_blocks + int(key[0]), offset=offset)
 
-    return (cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_blocks)))
-            .groupBy("block").applyInPandas(fill, PIECES + ", sequence_id long, offset long"))
+    numbered = cut.withColumn("at", F.monotonically_increasing_id())
+    whole = numbered.where(F.col("length") == capacity).select(*cut.columns, (-1 - F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = numbered.where(F.col("length") < capacity).withColumn("block", F.pmod(F.xxhash64("at"), F.lit(n_blocks))).drop("at")
+    return whole.union(rest.groupBy("block").applyInPandas(fill, PIECES + ", sequence_id long, offset long"))
