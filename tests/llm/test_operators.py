@@ -475,7 +475,7 @@ def test_pipeline_stages(spark, tmp_path, awkward, nothing):
     near = pipeline.near_dedup(spark, after, SF).cache()
     assert ids(near) == {d for d, _, _, k in brute_components(rows, 5) if k}
     cut = pipeline.suffix_dedup(spark, near, SF).cache()
-    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in cut.collect()} == {d: h for d, _, _, _, h in brute_repeats([(r.doc_id, r.text.encode()) for r in near.collect()], 400)}
+    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in cut.collect()} == {d: h for d, _, _, _, h in brute_repeats([(r.doc_id, r.text.encode()) for r in near.collect()], pipeline.PASSAGE)}
     assert all(r.n_chars == len(r.text) for r in cut.collect())
     clean = pipeline.decontamination(spark, cut, SF).cache()
     bad = {r.doc_id for r in contaminated(cut, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
@@ -489,5 +489,15 @@ def test_pipeline_stages(spark, tmp_path, awkward, nothing):
             stage(spark, now, SF).write.parquet(f"{tmp_path}/{id(table)}-{n}")
             now = spark.read.parquet(f"{tmp_path}/{id(table)}-{n}")
         assert (now.count() > 0) == (table is awkward)
+    # rows are judged by their text, also where ids are null or repeated
     twice = pipeline.near_dedup(spark, awkward, SF)
-    assert twice.where("doc_id = 2").count() == 0 and twice.where("doc_id = 1").count() == 1 and twice.where("doc_id = 9").count() == 1
+    assert [r.text for r in twice.where("doc_id = 2").collect()] == ["another text under the same id"]
+    assert twice.where("doc_id = 1").count() == 1 and twice.where("doc_id = 9").count() == 1
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, base, "7"), (None, base, "7"), (None, base, "8"), (2, base.replace("word100 ", "other "), "9"), (2, "quite another text of a few words", "9"), (3, "same", "2"), (3, "same", "1")]
+    left = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n_bytes string"), SF)
+    assert sorted((r.doc_id, r.text[:5], r.n_bytes) for r in left.collect()) == [(1, "word0", "7"), (2, "quite", "9"), (3, "same", "1")]
+    leaked = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = spark.createDataFrame([(None, leaked, "7"), (None, "nothing of the kind", "7"), (4, leaked, "7"), (4, "clean words", "7")], "doc_id long, text string, n_bytes string")
+    assert sorted(r.text for r in pipeline.decontamination(spark, rows, SF).collect()) == ["clean words", "nothing of the kind"]
+    assert {r.n_bytes for r in pipeline.suffix_dedup(spark, rows, SF).collect()} == {"7"}
