@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clientlens.llm.catalog import tokenizer_path
 from clientlens.llm.common import durable, likely, table, without
-from clientlens.llm.decontaminate import without_contaminated
+from clientlens.llm.decontaminate import contaminated
 from clientlens.llm.near_dup import near_duplicates
 from clientlens.llm.packing import pack
 from clientlens.llm.quality import quality
@@ -23,41 +23,62 @@ from clientlens.llm.suffix_dedup import remove_repeats
 from clientlens.session import ensure_checkpoint_dir
 
 
+#: Bytes of the strings that the suffix stage removes: about 50 words.
+PASSAGE = 256
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of id and text beside each row: stages decide on
+    rows, not on ids, which may be null or repeated."""
+    return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+
+
+def _texts(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("__row").alias("doc_id"), "text", *more)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the word rules or their language's perplexity band reject go.
     A row is judged by itself, also where another has its doc_id."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    judged = quality(keyed.select(F.col("__row").alias("doc_id"), "text", "lang"))
-    return without(keyed, "__row", judged.where("not kept").select("doc_id")).select(*docs.columns)
+    rows = _by_row(docs)
+    judged = quality(_texts(rows, "lang"))
+    return without(rows, "__row", judged.where("not kept").select("doc_id")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles,
-    a similarity of 0.8), the one with the smallest doc_id; of rows that repeat
-    a doc_id the one whose columns come first."""
-    found = durable(near_duplicates(docs, shingle=5))
-    left = without(docs, "doc_id", found.where("not kept and doc_id is not null").select("doc_id"))
-    twice = durable(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One row of each group of near-duplicates stays (five-word shingles, a
+    similarity of 0.8), the one with the smallest doc_id (a null one last); of
+    rows with the same id and text the one whose other columns come first."""
+    rows = _by_row(docs)
+    found = durable(near_duplicates(_texts(rows), shingle=5).select(F.col("doc_id").alias("__row"), "component_id"))
+    groups = durable(found.where("__row <> component_id").select("component_id").distinct())
+    members = durable(found.join(groups, "component_id", "left_semi").distinct())
+    named = likely(rows.select("__row", "doc_id"), "__row", members.select("__row")).distinct().join(members, "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")).select("first.__row")
+    left = without(rows, "__row", members.join(first, "__row", "left_anti").select("__row"))
+    twice = durable(rows.groupBy("__row").count().where("count > 1").select("__row"))
     if twice.isEmpty():
-        return left
-    others = [c for c in docs.columns if c != "doc_id"]
-    again = likely(left, "doc_id", twice)
-    one = (again.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__first"))
-           .select("doc_id", "__first.*").select(*docs.columns))
-    return likely(left, "doc_id", twice, keep=False).union(one).union(again.where("doc_id is null"))
+        return left.select(*docs.columns)
+    again = likely(left, "__row", twice)
+    one = again.groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__first")).select("__first.*")
+    return likely(left, "__row", twice, keep=False).select(*docs.columns).union(one.select(*docs.columns))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that occur again."""
-    left = remove_repeats(docs)
-    if "n_chars" in docs.columns:
+    """Texts without the bytes of strings of ``PASSAGE`` bytes that occur again."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    aside = docs.select("doc_id", "text", *(F.col(c).alias(f"__c{i}") for i, c in enumerate(others)))
+    left = remove_repeats(aside, PASSAGE).select("doc_id", "text", *(F.col(f"__c{i}").alias(c) for i, c in enumerate(others)))
+    if "n_chars" in others:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a text of ``benchmark`` go."""
-    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold a text of ``benchmark`` go."""
+    rows = _by_row(docs)
+    found = contaminated(_texts(rows), table(spark, sf_dir, "benchmark"))
+    return without(rows, "__row", found.select("doc_id")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
