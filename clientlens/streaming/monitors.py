@@ -9,7 +9,8 @@ streaming versions whose final state equals the batch computation:
   of the whole record) is dropped within the watermark;
 * STM-03 ``structuring_windows``: sub-threshold transfers per client per
   sliding event-time window (7 days, sliding 1 day);
-* STM-04 ``monthly_flows``: running monthly in / out / net per client.
+* STM-04 ``run_monthly_flows``: running monthly in / out / net per client as
+  a log of parts, with the corrections that late rows make to closed months.
 
 Aggregations run in *update* mode; ``run_available_now`` writes each
 micro-batch's changed rows to a changelog table under the shared checkpoint
@@ -93,16 +94,78 @@ def structuring_windows(tx: DataFrame, low: float = 8000, high: float = 9999,
                     "total"))
 
 
+def transactions_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """STM-01: the NDJSON stream as (client_key, txn_type, amount_usd, value_ts)."""
+    from ..sources.raw import TXN_CODES, decode_join
+    tx = decode_join(read_transactions_stream(spark, path, max_files), "txCode", TXN_CODES, "txn_type")
+    return tx.select(F.col("cif").alias("client_key"), "txn_type", F.col("amount").cast("decimal(18,2)").alias("amount_usd"), "value_ts")
+
+
+def write_transactions_feed(events: DataFrame, files: int) -> str:
+    """The events as NDJSON transactions in ``files`` files of rising time under
+    the shared checkpoint folder; returns the folder."""
+    from ..functions.text import map_lookup
+    from ..sources.raw import TXN_CODES
+    codes = {kind: code for kind, txn in EVENT_TXN_TYPE.items() for code, name in TXN_CODES.items() if name == txn}
+    path = os.path.join(ensure_checkpoint_dir(events.sparkSession), f"feed-{uuid.uuid4().hex}")
+    rows = events.select(F.col("user_id").cast("string").alias("cif"), map_lookup("event_type", codes, "other").alias("txCode"),
+                         (F.col("value").cast("decimal(18,2)") * 100).cast("double").alias("amount"), F.lit("USD").alias("ccy"),
+                         F.unix_millis(F.col("ts").cast("timestamp")).alias("valueDateMs"), F.lit("EXT").alias("counterparty"), F.lit(None).cast("string").alias("fxLeg"))
+    rows.repartitionByRange(files, "valueDateMs").write.json(path)
+    return path
+
+
 def monthly_flows(tx: DataFrame, inflow: tuple[str, ...] = ("transfer_in",),
                   outflow: tuple[str, ...] = ("transfer_out",)) -> DataFrame:
-    """STM-04: running in / out / net per client and calendar month."""
+    """In / out / net per client and calendar month of the rows given."""
     zero = F.lit(0).cast("decimal(18,2)")
     return (tx.groupBy("client_key", F.date_trunc("month", "value_ts").alias("month"))
             .agg(F.sum(F.when(F.col("txn_type").isin(*inflow), F.col("amount_usd")).otherwise(zero)).alias("inflow_usd"),
-                 F.sum(F.when(F.col("txn_type").isin(*outflow), F.col("amount_usd")).otherwise(zero)).alias("outflow_usd"))
+                 F.sum(F.when(F.col("txn_type").isin(*outflow), F.col("amount_usd")).otherwise(zero)).alias("outflow_usd"),
+                 F.max("value_ts").alias("newest"))
             .withColumn("net_usd", F.col("inflow_usd") - F.col("outflow_usd")))
 
 
+def run_monthly_flows(tx: DataFrame, name: str, delay: str = "2 days", base: str | None = None) -> str:
+    """STM-04: running monthly flows of a stream of transactions, without state.
+
+    A micro-batch adds up its own rows and writes them as one part of a log,
+    named by the batch, so that a batch that is run again replaces its part.
+    Sums over the log (:func:`monthly_totals`) are the totals; no total is held
+    by the stream, so what it needs does not grow with clients or months, and a
+    row may come however late. The watermark, ``delay`` behind the newest row
+    of earlier batches, closes the months that end before it: a part that
+    changes such a month is marked as its ``correction``. ``base`` continues an
+    earlier run. Returns the log's path."""
+    spark = tx.sparkSession
+    base = base or os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    log = os.path.join(base, "log")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parts = monthly_flows(batch)
+        earlier = spark.read.schema(MONTH_LOG).parquet(log).where(F.col("batch") < batch_id).agg(F.max("newest").alias("newest")) if _exists(spark, log) else None
+        closed = earlier.select(F.expr(f"newest - INTERVAL {delay}")).first()[0] if earlier is not None else None
+        late = F.coalesce(F.add_months("month", 1).cast("timestamp") <= F.lit(closed).cast("timestamp"), F.lit(False))
+        parts.withColumn("correction", late).write.mode("overwrite").parquet(os.path.join(log, f"batch={batch_id}"))
+
+    q = (tx.writeStream.foreachBatch(write).option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return log
+
+
+MONTH_LOG = ("client_key string, month timestamp, inflow_usd decimal(28,2), outflow_usd decimal(28,2), newest timestamp, net_usd decimal(29,2), "
+             "correction boolean, batch int")
+
+
+def monthly_totals(spark: SparkSession, log: str) -> DataFrame:
+    """``client_key, month, inflow_usd, outflow_usd, net_usd, n_corrections``
+    over all parts of a log."""
+    if not _exists(spark, log):
+        return spark.createDataFrame([], "client_key string, month timestamp, inflow_usd decimal(38,2), outflow_usd decimal(38,2), net_usd decimal(38,2), n_corrections long")
+    parts = spark.read.schema(MONTH_LOG).parquet(log)
+    return parts.groupBy("client_key", "month").agg(*(F.sum(c).alias(c) for c in ("inflow_usd", "outflow_usd", "net_usd")), F.count_if("correction").alias("n_corrections"))
+
+
 def run_available_now(df: DataFrame, name: str, mode: str = "update") -> str:
     """Run a streaming DataFrame over all available input, then stop.
 

@@ -162,3 +162,34 @@ def test_streaming_equals_batch(spark, tmpdir_path):
              .groupBy(F.window("value_ts", "7 days", "1 day").alias("w")).count())
     want = {(str(r.w.start)[:10], r["count"]) for r in batch.collect()}
     assert got == want
+
+
+def test_monthly_flows_of_late_rows_equal_the_batch(spark, tmpdir_path):
+    src, base = os.path.join(tmpdir_path, "feed"), os.path.join(tmpdir_path, "stream")
+    os.makedirs(src)
+
+    def deliver(name, *rows):
+        with open(os.path.join(src, name), "w") as f:
+            f.write("\n".join(json.dumps({"cif": c, "txCode": code, "amount": a, "ccy": "USD", "valueDateMs": int(pd.Timestamp(day).timestamp() * 1000), "counterparty": "EXT", "fxLeg": None}) for c, code, a, day in rows) + "\n")
+        os.utime(os.path.join(src, name), (1_700_000_000 + len(os.listdir(src)),) * 2)
+
+    first = [("S1", "TIN", 100.0, "2024-01-05"), ("S1", "TOU", 30.5, "2024-01-20"), ("S2", "BUY", 7.0, "2024-01-09")]
+    second = [("S1", "TIN", 5.0, "2024-02-25"), ("S2", "TIN", 8.25, "2024-01-31")]  # January is still open for the second
+    late = [("S1", "TIN", 1.0, "2024-01-07"), ("S2", "TOU", 2.0, "2024-02-26"), ("S3", "TOU", 4.0, "2023-12-31")]
+    deliver("a.json", *first)
+    deliver("b.json", *second)
+    log = M.run_monthly_flows(M.transactions_stream(spark, src, max_files=1), "t", "2 days", base)
+    assert not M.monthly_totals(spark, log).where("n_corrections > 0").count()
+    deliver("c.json", *late)
+    assert M.run_monthly_flows(M.transactions_stream(spark, src, max_files=1), "t", "2 days", base) == log
+    got = {(r.client_key, str(r.month)[:7]): (float(r.inflow_usd), float(r.outflow_usd), float(r.net_usd), r.n_corrections) for r in M.monthly_totals(spark, log).collect()}
+    assert got == {("S1", "2024-01"): (101.0, 30.5, 70.5, 1), ("S2", "2024-01"): (8.25, 0.0, 8.25, 0), ("S1", "2024-02"): (5.0, 0.0, 5.0, 0),
+                   ("S2", "2024-02"): (0.0, 2.0, -2.0, 0), ("S3", "2023-12"): (0.0, 4.0, -4.0, 1)}
+    parts = spark.read.parquet(log)
+    assert parts.select("batch").distinct().count() == 3
+    # a batch that is run again replaces its part
+    before = sorted(map(str, M.monthly_totals(spark, log).collect()))
+    spark.read.parquet(os.path.join(log, "batch=1")).write.mode("overwrite").parquet(os.path.join(tmpdir_path, "again"))
+    spark.read.parquet(os.path.join(tmpdir_path, "again")).write.mode("overwrite").parquet(os.path.join(log, "batch=1"))
+    assert sorted(map(str, M.monthly_totals(spark, log).collect())) == before
+    assert M.monthly_totals(spark, os.path.join(tmpdir_path, "none")).collect() == []
