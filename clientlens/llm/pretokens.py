@@ -13,7 +13,9 @@ chunk, and any chunk that may hold a special token, goes to the library whole.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -77,6 +79,12 @@ class Lookup(dict):
             value = self.rare[token] = self.encode(token)
         return value
 
+    def learn(self, tokens: list[str]) -> None:
+        """Encodes the pre-tokens that are not known yet, all in one call."""
+        new = [t for t in dict.fromkeys(tokens) if t not in self.frequent and t not in self.rare]
+        for token, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.rare[token] = self.of_ids(found.ids)
+
     def __missing__(self, chunk: str):
         parts = split_chunk(chunk)
         if parts is None:
@@ -104,6 +112,7 @@ def read_tokenizer(path: str) -> str:
 
 
 def _load(json_text: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run beside each other already
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_str(json_text)
     tokenizer.no_padding()
@@ -167,18 +176,28 @@ class IdLookup:
     MAIN, RECENT, IDS = 1_000_000, 100_000, 6_000_000
 
     def __init__(self, json_text: str):
-        self.chunks = Lookup(_load(json_text), {}, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+        self.chunks = Lookup(_load(json_text), {}, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
         self._reset()
 
     def _reset(self) -> None:
         self.tiers = [[np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)] for _ in range(2)]
-        self.ids = [np.empty(0, np.uint32)]
+        self.ids = np.empty(1 << 16, np.uint32)  # grows by doubling; the first n_ids are in use
         self.n_ids = 0
 
-    def _encode(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "surrogatepass")
-        parts = split_chunk(text)
-        return self.chunks.encode(text) if parts is None else b"".join(map(self.chunks.pretoken, parts))
+    def _keep(self, ids: np.ndarray) -> None:
+        if self.n_ids + len(ids) > len(self.ids):
+            larger = np.empty(max(2 * len(self.ids), self.n_ids + len(ids)), np.uint32)
+            larger[:self.n_ids] = self.ids[:self.n_ids]
+            self.ids = larger
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+
+    def _encode(self, raw: list[bytes]) -> list[bytes]:
+        texts = [c.decode("utf-8", "surrogatepass") for c in raw]
+        parts = [split_chunk(t) for t in texts]
+        self.chunks.learn([t for own in parts if own for t in own])
+        known = self.chunks.rare
+        return [self.chunks.encode(t) if own is None else known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own]) for t, own in zip(texts, parts, strict=True)]
 
     def _find(self, hashes: np.ndarray, start: np.ndarray, length: np.ndarray, todo: np.ndarray, tier: list) -> np.ndarray:
         keys, starts, lengths = tier
@@ -208,20 +227,16 @@ class IdLookup:
         if len(todo):
             new, first = np.unique(w.hash[todo], return_index=True)
             raw = w.buffer.tobytes()
-            found = [self._encode(raw[a:b]) for a, b in zip(w.start[todo[first]].tolist(), w.end[todo[first]].tolist(), strict=True)]
+            found = self._encode([raw[a:b] for a, b in zip(w.start[todo[first]].tolist(), w.end[todo[first]].tolist(), strict=True)])
             lengths = np.array([len(x) // 4 for x in found], np.int64)
             fresh = [new, (self.n_ids + np.cumsum(lengths) - lengths).astype(np.int32), lengths.astype(np.int32)]
-            self.ids.append(np.frombuffer(b"".join(found), np.uint32))
-            self.n_ids += int(lengths.sum())
+            self._keep(np.frombuffer(b"".join(found), np.uint32))
             self._find(w.hash, start, length, todo, fresh)
             self.tiers[1] = self._merged(self.tiers[1], fresh)
             if len(self.tiers[1][0]) > self.RECENT:
                 self.tiers = [self._merged(*self.tiers), [x[:0] for x in self.tiers[1]]]
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)] if len(self.tiers[1][0]) == 0 or len(self.ids) > 8 else self.ids
-        flat = self.ids[0] if len(self.ids) == 1 else np.concatenate(self.ids)
         before = np.cumsum(length) - length
-        out = flat[np.repeat(start - before, length) + np.arange(int(length.sum()))]
+        out = self.ids[np.repeat(start - before, length) + np.arange(int(length.sum()))]
         cuts = np.append(before, length.sum())[w.first]
         return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
