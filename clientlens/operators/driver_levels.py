@@ -120,6 +120,7 @@ def key_drivers_by_levels(df: DataFrame, metric_col: str, dimension_cols: list[s
     found = totals.select(F.array().cast("array<string>").alias("seg"), *_SUMS)
     for level in levels:
         found = found.unionByName(level)
+    found, _ = write_table(found)  # as a table its keys are no constants that would turn the joins below into products
     if enable_pruning:
         # a segment's rows are a subset of those of the segments one item
         # shorter, so equal numbers mean the same rows

