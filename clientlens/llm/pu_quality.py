@@ -75,7 +75,8 @@ def shape(texts: list[bytes]) -> np.ndarray:
         np.cumsum(kind == k, out=sums[1:])
         held[k] = np.diff(sums[w.text_start])
     size = w.end - w.start
-    total = np.maximum(np.bincount(w.doc, weights=size, minlength=n), 1)
+    held_bytes = np.bincount(w.doc, weights=size, minlength=n)
+    total = np.maximum(held_bytes, 1)
     longest = np.zeros(n)
     np.maximum.at(longest, w.doc, size)
     short = np.bincount(w.doc, weights=size <= 3, minlength=n)
@@ -102,7 +103,7 @@ def shape(texts: list[bytes]) -> np.ndarray:
     root = lambda x: np.sqrt(np.clip(x, 0, 1))
     log = lambda x, top: np.clip(np.log2(1 + x) / top, 0, 1)
     return np.stack([
-        log(count, 16), log(total / some, 8), log(longest, 12), log(count / lines, 12), root(short / some), root(held[_SIGNS] / total), root(held[_LOUD] / some), root(held[_STOPS] / some),
+        log(count, 16), log(held_bytes / some, 8), log(longest, 12), log(count / lines, 12), root(short / some), root(held[_SIGNS] / total), root(held[_LOUD] / some), root(held[_STOPS] / some),
         root(held[_COMMAS] / some), root(held[_CAPITALS] / letters), root(held[_DIGITS] / total), root(held[_WIDE] / total), root(again / some), root(_repeated(w, 3, n) / some),
         root(_repeated(w, 8, n) / some), distinct / some, root(most / some), root(doubled / some)], axis=1).astype(np.float32)
 

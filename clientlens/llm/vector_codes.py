@@ -111,7 +111,7 @@ def _pieces(rows: np.ndarray, parts: int) -> list[np.ndarray]:
 
 def _assigned(rows: np.ndarray, codes: np.ndarray | None, books: list[Book]) -> tuple[np.ndarray, np.ndarray]:
     found = [book.assign(x, None if codes is None else codes[:, p].astype(np.int64)) for p, (book, x) in enumerate(zip(books, _pieces(rows, len(books)), strict=True))]
-    return np.stack([c for c, _ in found], axis=1), np.stack([d for _, d in found], axis=1)
+    return np.stack([c for c, _ in found], axis=1), np.stack([d if d.dtype == object else d.astype(np.int64) for _, d in found], axis=1)
 
 
 def _bytes(codes: np.ndarray) -> pa.Array:
@@ -144,7 +144,7 @@ def _round(state: DataFrame, books: list[Book], dim: int, names: list[str]) -> D
                 x = batch.column(2)
                 rows, codes = unpacked(x, dim), _codes(batch.column(3), parts)
             codes, distance = _assigned(rows, codes, shared.value)
-            error = distance.sum(axis=1).astype(object) if distance.dtype == object else distance.sum(axis=1).astype(np.int64)
+            error = distance.sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x, _bytes(codes), pa.array(error, pa.int64())], ["vec_id", "label", "x", "code", "error"])
 
     return state.select(*names).mapInArrow(run, schema)
@@ -221,6 +221,8 @@ def vector_codes(vectors: DataFrame, parts: int = 4, size: int = 256, rounds: in
         return spark.createDataFrame([], result)
     if not 1 <= size <= 256:
         raise ValueError("a codebook has 1 to 256 entries")
+    if len({len(r.embedding) for r in head}) > 1:
+        raise ValueError("vectors of different lengths")
     first = floors(np.array([r.embedding for r in head], np.float64), 1024)
     dim = first.shape[1]
     if dim % parts:
