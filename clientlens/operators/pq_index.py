@@ -36,7 +36,7 @@ from .vector import DIST_DP, _centroid_dist, _stack, _unit
 #: probes is found by.
 SAMPLE_ROWS, SAMPLE_QUERIES = 8192, 256
 #: Members of a group of cells and queries of a part of them, about.
-GROUP_ROWS, QUERY_ROWS = 16_384, 4096
+GROUP_ROWS, QUERY_ROWS = 1 << 17, 4096
 #: Queries whose scores with a cell are held at once.
 SCORE_ROWS = 512
 #: Share of the true neighbours in probed cells that the codes may not lose.
@@ -46,7 +46,8 @@ MARGIN = 0.02
 
 
 def _lloyd(rows: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
-    entries = rows[:k].copy()
+    _, first = np.unique(rows, axis=0, return_index=True)
+    entries = rows[np.sort(first)[:k]]  # distinct rows: copies would be entries that nothing gets
     for _ in range(steps):
         near = _centroid_dist(rows, entries).argmin(axis=1)
         n = np.bincount(near, minlength=len(entries))
