@@ -37,8 +37,9 @@ from .vector import DIST_DP, _centroid_dist, _stack, _unit
 SAMPLE_ROWS, SAMPLE_QUERIES = 8192, 256
 #: Members of a group of cells and queries of a part of them, about.
 GROUP_ROWS, QUERY_ROWS = 1 << 17, 4096
-#: Queries whose scores with a cell are held at once.
-SCORE_ROWS = 512
+#: Scores of queries with a cell, and candidates beyond the best, that are held
+#: at once; rows that are compared with all cells at once.
+SCORES, CANDIDATES, CELL_ROWS = 1 << 22, 1 << 21, 1024
 #: Share of the true neighbours in probed cells that the codes may not lose.
 CODE_SHARE = 0.985
 #: Added to the recall asked for, as that of a sample differs.
@@ -65,6 +66,22 @@ def _decoded(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([b[codes[:, p]] for p, b in enumerate(books)], axis=1)
 
 
+def _cut(frames):
+    """The rows of ``frames`` as frames of at most ``CELL_ROWS`` rows."""
+    for frame in frames:
+        for a in range(0, len(frame), CELL_ROWS):
+            yield frame.iloc[a:a + CELL_ROWS]
+
+
+def _best(parts: list[tuple], ids: np.ndarray, keep: int) -> tuple:
+    """Of candidates (query, member, distance), the nearest ``keep`` of each query."""
+    row, member, far = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids[member], far, row))
+    row, member, far = row[order], member[order], far[order]
+    best = (np.arange(len(row)) - np.searchsorted(row, row) < keep) & (far < 9)
+    return row[best], member[best], far[best]
+
+
 @dataclass
 class PQIndex:
     """``codes(id, cell, code)`` and ``vectors(id, vec)`` are tables; cells,
@@ -116,12 +133,11 @@ def build_index(base: DataFrame, id_col: str, vec_col: str, top_k: int = 6, reca
 
     def encode(frames):
         cells_, books_ = shared.value
-        for frame in frames:
-            if len(frame):
-                u = _unit(_stack(frame["vec"], dim))
-                code = _codes_of(u, books_)
-                raw = code.tobytes()
-                yield pd.DataFrame({"id": frame["id"], "cell": _centroid_dist(u, cells_).argmin(axis=1).astype("int32"), "code": [raw[i * parts:(i + 1) * parts] for i in range(len(code))]})
+        for frame in _cut(frames):
+            u = _unit(_stack(frame["vec"], dim))
+            code = _codes_of(u, books_)
+            raw = code.tobytes()
+            yield pd.DataFrame({"id": frame["id"], "cell": _centroid_dist(u, cells_).argmin(axis=1).astype("int32"), "code": [raw[i * parts:(i + 1) * parts] for i in range(len(code))]})
 
     codes, code_path = write_table(vectors.mapInPandas(encode, "id long, cell int, code binary"))
     sizes = np.zeros(len(cells), np.int64)
@@ -157,11 +173,10 @@ def _tuned(index: PQIndex, sample: pd.DataFrame, k: int, recall: float) -> tuple
 
     def blocks(frames):
         q_, ids_, _, books_ = shared.value
-        for frame in frames:
-            if len(frame):
-                u = _unit(_stack(frame["vec"], q_.shape[1]))
-                same = ids_[:, None] == frame["id"].to_numpy()[None, :]
-                yield u, np.where(same, 9.0, 1 - q_ @ u.T), np.where(same, 9.0, 1 - q_ @ _decoded(_codes_of(u, books_), books_).T)
+        for frame in _cut(frames):
+            u = _unit(_stack(frame["vec"], q_.shape[1]))
+            same = ids_[:, None] == frame["id"].to_numpy()[None, :]
+            yield u, np.where(same, 9.0, 1 - q_ @ u.T), np.where(same, 9.0, 1 - q_ @ _decoded(_codes_of(u, books_), books_).T)
 
     def best(frames):
         top = None
@@ -214,9 +229,7 @@ def index_search(index: PQIndex | None, queries: DataFrame, id_col: str, vec_col
 
     def route(frames):
         cells, _, first, many, sizes, n_probe = shared.value
-        for frame in frames:
-            if not len(frame):
-                continue
+        for frame in _cut(frames):
             near = np.argsort(_centroid_dist(_unit(_stack(frame["qvec"], dim)), cells), axis=1, kind="stable")
             # as many cells as hold k others, where the usual number does not
             enough = np.maximum(n_probe, (sizes[near].cumsum(axis=1) <= top_k).sum(axis=1) + 1)
@@ -242,24 +255,25 @@ def index_search(index: PQIndex | None, queries: DataFrame, id_col: str, vec_col
         ids, cell, qid = right["id"].to_numpy(), right["cell"].to_numpy(), left["qid"].to_numpy()
         probed = [np.frombuffer(x, np.int32) for x in left["probed"]]
         owner, asked_cell = np.repeat(np.arange(len(left)), [len(x) for x in probed]), np.concatenate(probed)
-        outs = []
+        outs, held, best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))], 0, 0
         for c in np.unique(cell):
             members, who = np.flatnonzero(cell == c), owner[asked_cell == c]
             about = _decoded(code[members], books).astype(np.float32)
-            for a in range(0, len(who), SCORE_ROWS):
-                rows = who[a:a + SCORE_ROWS]
+            step = max(1, SCORES // len(members))
+            for a in range(0, len(who), step):
+                rows = who[a:a + step]
                 far = 1 - q[rows] @ about.T
                 if exclude_self:
                     far[qid[rows][:, None] == ids[members][None, :]] = 9.0
                 kk = min(rerank, len(members))
                 at = np.argpartition(far, kk - 1, axis=1)[:, :kk]
                 outs.append((np.repeat(rows, kk), members[at.ravel()], np.take_along_axis(far, at, axis=1).ravel()))
-        row, member, far = (np.concatenate(x) for x in zip(*outs, strict=True)) if outs else (np.empty(0, int), np.empty(0, int), np.empty(0))
-        order = np.lexsort((ids[member], far, row))
-        row, member, far = row[order], member[order], far[order]
-        start = np.searchsorted(row, row)
-        keep = (np.arange(len(row)) - start < rerank) & (far < 9)
-        return pd.DataFrame({"query_id": qid[row[keep]], "neighbor_id": ids[member[keep]], "about": far[keep].astype(np.float64)})
+                held += at.size
+                if held > best + CANDIDATES:  # only the best so far are kept
+                    outs = [_best(outs, ids, rerank)]
+                    held = best = len(outs[0][0])
+        row, member, far = _best(outs, ids, rerank)
+        return pd.DataFrame({"query_id": qid[row], "neighbor_id": ids[member], "about": far.astype(np.float64)})
 
     def literal(values: np.ndarray) -> F.Column:
         return F.array(*[F.lit(int(v)) for v in values])

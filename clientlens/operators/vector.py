@@ -44,6 +44,9 @@ from ..session import ensure_checkpoint_dir, spread
 
 PAIR_SCHEMA = "query_id long, neighbor_id long, distance double"
 DIST_DP = 6
+#: Rows of a block on either side: vectors and partial lists are sent once for
+#: every block they meet. Queries of a block whose distances are held at once.
+BLOCK, SCORE_ROWS = 16_384, 256
 #: Probes (a query's vector each) that a task holds at once.
 PROBE_ROWS = 10_000
 #: Queries by which the number of probes is found, and what is added to the
@@ -91,17 +94,20 @@ def _centroid_dist(U: np.ndarray, C: np.ndarray) -> np.ndarray:
 
 def _topk_block(k: int, exclude_self: bool, dim: int):
     def fn(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
         if len(q) == 0 or len(b) == 0:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-        Q, B = _unit(_stack(q["vec"], dim)), _unit(_stack(b["vec"], dim))
-        D = np.round(1.0 - Q @ B.T, DIST_DP)
+            return empty
+        B, bid = _unit(_stack(b["vec"], dim)), b["id"].to_numpy()
+        place = np.empty(len(bid), np.int64)
+        place[np.argsort(bid, kind="stable")] = np.arange(len(bid))
+        return pd.concat([part(q.iloc[a:a + SCORE_ROWS], B, bid, place) for a in range(0, len(q), SCORE_ROWS)])
+
+    def part(q: pd.DataFrame, B: np.ndarray, bid: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+        D = np.round(1.0 - _unit(_stack(q["vec"], dim)) @ B.T, DIST_DP)
         qid = q["qid"].to_numpy()
-        bid = b["id"].to_numpy()
         if exclude_self:
             D = np.where(qid[:, None] == bid[None, :], np.inf, D)
         # exactly k a query: (distance, id) as one whole number, so ties go to the smaller id
-        place = np.empty(len(bid), np.int64)
-        place[np.argsort(bid, kind="stable")] = np.arange(len(bid))
         order = np.where(np.isfinite(D), np.rint(D * 10 ** DIST_DP), 4 * 10 ** DIST_DP).astype(np.int64) * len(bid) + place
         kk = min(k, D.shape[1])
         cols = np.argpartition(order, kk - 1, axis=1)[:, :kk].ravel()
@@ -115,7 +121,7 @@ class CellIndex:
     """Cells over a base table: centroids (driver-side, ``n_cells`` × dim,
     a bounded parameter) and the assigned base rows."""
 
-    def __init__(self, base: DataFrame, id_col: str, vec_col: str, n_cells: int = 16, block: int = 1024,
+    def __init__(self, base: DataFrame, id_col: str, vec_col: str, n_cells: int = 16, block: int = BLOCK,
                  seed: int = 42, train_fraction: float | None = None):
         self.spark = base.sparkSession
         self.block = block
@@ -240,7 +246,7 @@ def _rank(pairs: DataFrame, k: int) -> DataFrame:
 
 def vector_search(base: DataFrame, query: DataFrame, top_k: int = 5, id_col: str = "id", vec_col: str = "embedding",
                   query_id_col: str | None = None, query_vec_col: str | None = None, exact: bool = True,
-                  n_probe: int = 1, n_cells: int | None = 16, block: int = 1024, exclude_self: bool = False,
+                  n_probe: int = 1, n_cells: int | None = 16, block: int = BLOCK, exclude_self: bool = False,
                   index: CellIndex | None = None, recall: float | None = None) -> DataFrame:
     """Cosine top-k of every query row against ``base``.
 
