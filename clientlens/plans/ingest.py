@@ -26,6 +26,9 @@ _ASSET_CODE = {v: k for k, v in R.ASSET_CLASS_CODES.items() if k != "SummitH"}
 _MANDATE_CODE = {v: k for k, v in R.MANDATE_CODES.items()}
 _PRODUCT_CODE = {v: k for k, v in R.PRODUCT_CODES.items()}
 _TXN_CODE = {v: k for k, v in R.TXN_CODES.items()}
+#: Text files are written compressed; each is read by one task, like the task
+#: that wrote it, and Spark's readers know the format by the file name.
+COMPRESSION = "gzip"
 FILES = {"clients_csv": "apex_clients.csv", "portfolios_txt": "apex_portfolios.txt",
          "positions_parquet": "apex_positions.parquet", "clients_json": "summit_clients.ndjson",
          "accounts_xml": "summit_accounts.xml", "transactions_json": "summit_transactions.ndjson",
@@ -48,7 +51,7 @@ def export_raw_files(c: Client360, root: str | None = None) -> str:
     kunde = F.when(F.col("client_key") < 10 ** 8, F.format_string("A%08d", "client_key")).otherwise(F.raise_error(F.lit("client key too large for the fixed-width file")))
     cif = F.format_string("Summit%09d", "client_key")
     # SRC-01 / SNK-04: CSV, header, quoted fields
-    K.write_csv(U.bank_a_raw(c), os.path.join(root, FILES["clients_csv"]))
+    K.write_csv(U.bank_a_raw(c), os.path.join(root, FILES["clients_csv"]), COMPRESSION)
     # SRC-03: fixed width, 49 characters
     pf = c.portfolios.join(apex, "client_key", "left_semi").filter(F.col("mandate_type").isin(*_MANDATE_CODE))
     line = F.concat(kunde, F.rpad(_lookup("mandate_type", _MANDATE_CODE), 4, " "),
@@ -56,7 +59,7 @@ def export_raw_files(c: Client360, root: str | None = None) -> str:
                     F.lpad((F.col("market_value_usd").cast("decimal(18,2)") * 100).cast("decimal(18,0)").cast("string"),
                            15, "0"),
                     F.date_format("inception_date", "yyyyMMdd"))
-    pf.select(line.alias("value")).write.mode("overwrite").text(os.path.join(root, FILES["portfolios_txt"]))
+    pf.select(line.alias("value")).write.mode("overwrite").option("compression", COMPRESSION).text(os.path.join(root, FILES["portfolios_txt"]))
     # SRC-04: parquet positions (cash written with both spellings, D2)
     h = c.holdings.join(apex, "client_key", "left_semi")
     code = F.when((F.col("asset_class") == "cash") & (F.pmod(F.xxhash64("holding_id"), F.lit(2)) == 0),
@@ -65,7 +68,7 @@ def export_raw_files(c: Client360, root: str | None = None) -> str:
                            code.alias("ASSET_CLASS_CD"), F.col("market_value_usd").alias("MARKTWERT_CHF"),
                            F.col("currency").alias("WAEHRUNG")), os.path.join(root, FILES["positions_parquet"]))
     # SRC-06: nested NDJSON
-    U.bank_b_raw(c).write.mode("overwrite").json(os.path.join(root, FILES["clients_json"]))
+    U.bank_b_raw(c).write.mode("overwrite").option("compression", COMPRESSION).json(os.path.join(root, FILES["clients_json"]))
     # SRC-07: XML, one <Account cif=".."> per account
     a = c.accounts.join(summit, "client_key", "left_semi")
     (a.select(F.format_string("Summit%09d", "client_key").alias("_cif"),
@@ -74,21 +77,21 @@ def export_raw_files(c: Client360, root: str | None = None) -> str:
               F.col("balance_usd").alias("Balance"), F.upper("status").alias("Status"),
               F.col("open_date").alias("OpenedDate"))
      .write.mode("overwrite").format("xml").option("rowTag", "Account").option("rootTag", "Accounts")
-     .option("dateFormat", "yyyy-MM-dd").save(os.path.join(root, FILES["accounts_xml"])))
+     .option("dateFormat", "yyyy-MM-dd").option("compression", COMPRESSION).save(os.path.join(root, FILES["accounts_xml"])))
     # SRC-08: NDJSON transactions with epoch-ms value dates and a nullable fx leg
     t = c.transactions.join(summit, "client_key", "left_semi")
     (t.select(cif.alias("cif"), _lookup("txn_type", _TXN_CODE, "XXX").alias("txCode"), F.col("amount_usd").alias("amount"),
               F.col("currency").alias("ccy"), F.unix_millis(F.col("value_date").cast("timestamp")).alias("valueDateMs"),
               F.upper("counterparty").alias("counterparty"),
               F.when(F.col("txn_type") == "fx", F.lit("EURUSD")).alias("fxLeg"))
-     .write.mode("overwrite").option("ignoreNullFields", False).json(os.path.join(root, FILES["transactions_json"])))
+     .write.mode("overwrite").option("ignoreNullFields", False).option("compression", COMPRESSION).json(os.path.join(root, FILES["transactions_json"])))
     # SRC-09: document manifest with multi-line body text
     d = c.data.documents
     K.write_csv(d.select(F.format_string("DOC_%06d", "doc_id").alias("document_id"),
                          F.format_string("raw/documents/DOC_%06d.pdf", "doc_id").alias("gcs_uri"),
                          F.col("source").alias("doc_type"), F.lit(None).cast("string").alias("client_id"),
                          F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
-                         F.col("text").alias("parsed_text")), os.path.join(root, FILES["manifest_csv"]))
+                         F.col("text").alias("parsed_text")), os.path.join(root, FILES["manifest_csv"]), COMPRESSION)
     # SRC-05: advisor workbooks (bank A advisors), one .xlsx per partition
     adv = c.advisors.filter(F.col("source_bank") == "apex")
     K.write_workbooks(adv.select(F.col("advisor_id").alias("Advisor ID"), F.col("name").alias("Name"),
@@ -98,7 +101,7 @@ def export_raw_files(c: Client360, root: str | None = None) -> str:
                       os.path.join(root, FILES["advisors_xlsx"]), "Advisors")
     # SRC-10: identity truth
     K.write_csv(c.clients.select(F.col("client_id").alias("master_client_id"), "source_banks", "dual_banked"),
-                os.path.join(root, FILES["truth_csv"]))
+                os.path.join(root, FILES["truth_csv"]), COMPRESSION)
     return root
 
 
