@@ -8,8 +8,8 @@ is gathered anywhere. Classes that enough pages have are valid; the elements
 of valid classes, nested by their paths, are the template, and text in the
 class of the page itself is part of it. A page is laid on its host's template:
 what stands between template tokens is a slot, and the slots inside the
-article are its text. Text that every page of the host has is template, but
-for what an article element marks as its own."""
+article are its text. Text that every page of the host has once is template,
+inside an article element too, unless the article has no other text."""
 
 from __future__ import annotations
 
@@ -224,12 +224,15 @@ def main_text(page: str, tokens: set | None, fixed: set) -> str:
             e = e.parent
         return e
 
-    texts = [(b, slot(b.element), text) for b in blocks if not b.element.dropped and (text := b.text())
-             and not (fixed and not b.element.main and _number(f"{b.element.path}={text}") in fixed)]
-    # the slots of the article; an article that only a few pages of the host mark counts as well
-    inside = [text for b, s, text in texts if not s.dropped and (s.main or b.element.main)]
+    texts = [(b, slot(b.element), text) for b in blocks if not b.element.dropped and (text := b.text())]
+    own = [(b, s, text) for b, s, text in texts if not (fixed and _number(f"{b.element.path}={text}") in fixed)]
+
+    def marked(found: list[tuple]) -> list[str]:
+        # the slots of the article; an article that only a few pages of the host mark counts as well
+        return [text for b, s, text in found if not s.dropped and (s.main or b.element.main)]
     if any(e.main and not e.dropped for e in elements):
-        return "\n".join(inside)
+        return "\n".join(marked(own) or marked(texts))
+    texts = own
     total = 0
     for b, _, text in texts:
         good = max(0, len(text) - 2 * b.linked)
