@@ -160,8 +160,8 @@ def sparse_top_k(vectors: DataFrame, k: int, id_col: str, vec_col: str, exclude_
     keys = ["list", "qblk", "bblk"]
     found = routed.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(compare, "query_id long, neighbor_id long, distance double")
     # zero vectors: the smallest ids, whose rows may repeat
-    smallest = rows.groupBy("id").count().orderBy("id").limit(k + 1).select(F.col("id").alias("neighbor_id"), F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)))).alias("copy"))
-    nearest = rows.where(F.length("vec") == 0).select(F.col("id").alias("query_id")).crossJoin(F.broadcast(smallest))
+    smallest = [r["id"] for r in rows.groupBy("id").count().orderBy("id").limit(k + 1).collect() for _ in range(min(k, r["count"]))]  # k * (k + 1) at most
+    nearest = rows.where(F.length("vec") == 0).select(F.col("id").alias("query_id"), F.explode(F.array(*[F.lit(i).cast("long") for i in smallest])).alias("neighbor_id"))
     if exclude_self:
         nearest = nearest.where("query_id <> neighbor_id")
     found = found.union(nearest.select("query_id", "neighbor_id", F.lit(1.0).alias("distance")))
