@@ -11,11 +11,15 @@ whose other retained values are as frequent.
 
 Within a list, classes are compared with one member of it, the hub, first:
 copies that are near each other are then linked by as many links as there are
-copies. After that only members of different components are compared with each
-other, pair by pair in short lists and by blocks in long ones. Candidates pass
-the estimate from the union of both sketches, then the exact similarity of the
-full sets; blocks with very many candidates are held against each other by
-their full sets at once."""
+copies. After that only members of different components have to meet. In short
+lists they do pair by pair, if the bits that their retained values set leave
+room for the similarity. Pairs of a long list never become rows: a member
+stays only if enough of its later values are also those of a member of another
+component, and those that stay (families whose sketches are alike, and few
+strangers) are joined by a prefix of their full sets, rarest shingles first,
+with the positions in both sets as a bound. What is then left in long lists
+are families at the edge of the threshold; each is held against itself once,
+in blocks. All candidates pass the exact similarity of the full sets."""
 
 from __future__ import annotations
 
@@ -37,15 +41,15 @@ K = 32
 SHARED = 0.4
 #: Share of the union's own bottom-k that similar sets have in common at least.
 ESTIMATE = 0.36
-#: Members up to which the pairs of a list become rows; longer lists are
-#: compared in blocks of about so many members each.
-LIST, BLOCK = 6, 768
-#: Pairs for each member of two blocks up to which they become rows; beyond,
-#: the blocks are compared by their full sets.
-DENSE = 3
+#: Members up to which a list is compared pair by pair: of retained values,
+#: and of the shingles of full sets. Longer ones of the latter are compared in
+#: blocks of about so many members.
+LIST, FULL_LIST, BLOCK = 64, 16, 768
 #: In a block: sets up to which a value's pairs are counted one by one, and
 #: columns of the incidence matrix multiplied at once.
 RARE, COLUMNS = 6, 4096
+#: Long numbers whose bits the retained values of a class set.
+PLACES = [f"bits{i}" for i in range(4)]
 
 FEATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>"
 
@@ -81,21 +85,35 @@ def estimate(a: Column, b: Column, k: int, threshold: tuple[int, int]) -> Column
     return F.when(F.size(union) < k, den * both >= num * F.size(union)).otherwise(both >= int(ESTIMATE * k))
 
 
+def _bits(i: int) -> Column:
+    """The bits that a sketch sets in the ``i``-th of ``PLACES``."""
+    return F.expr(f"aggregate(sketch, 0L, (b, x) -> b | if(((x >> 6) & {len(PLACES) - 1}) = {i}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(PLACES[i])
+
+
+def _may_share(x: str, y: str) -> Column:
+    """Whether the rows ``x`` and ``y`` may have enough retained values in
+    common: a bit that only one of them has stands for a value of its own."""
+    def common(a: str, b: str) -> Column:
+        return F.expr(f"{a}.m - ({' + '.join(f'bit_count({a}.{p} & ~{b}.{p})' for p in PLACES)})")
+    return F.least(common(x, y), common(y, x)) >= F.least(f"{x}.least", f"{y}.least")
+
+
 def _prefix_lists(reps: DataFrame, k: int) -> DataFrame:
-    """(node, n, weight, vs, take): the rarest retained values of every class, as far as any
-    similar class must share one of them; values of one class only count for
-    the order but open no list. The first ``take`` of ``vs`` open lists.
-    ``weight`` adds up how many classes have each of a class's values: in a
-    group of copies it is largest for the one that the others resemble most."""
+    """(node, n, m, least, bits, weight, vs, take): the retained values of every class
+    that another one has, too, rarest first. The first ``take`` open lists: any
+    similar class must share one of them. ``least`` of the ``m`` retained values
+    are those of a similar class as well. ``weight`` adds up how many classes
+    have each of a class's values: in a group of copies it is largest for the
+    one that the others resemble most."""
     values = reps.select("node", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    least = F.greatest(F.lit(1), F.floor(SHARED * F.col("m")))
-    sizes = reps.select("node", "n", F.size("sketch").alias("m"))
+    sizes = (reps.select("node", "n", F.size("sketch").alias("m"), *(_bits(i) for i in range(len(PLACES))))
+             .withColumn("least", F.greatest(F.lit(1), F.floor(SHARED * F.col("m"))).cast("int")))
     return (values.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "v"))).alias("vs")).join(sizes, "node")
-            .withColumn("take", (F.col("m") - least + 1 - (F.col("m") - F.size("vs"))).cast("int"))
+            .withColumn("take", (F.size("vs") - F.col("least") + 1).cast("int"))
             .where("take > 0")
-            .select("node", "n", F.aggregate("vs", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
-                    F.transform(F.expr("slice(vs, 1, take + 1)"), lambda x: x["v"]).alias("vs"), "take"))
+            .select("node", "n", "m", "least", *PLACES, F.aggregate("vs", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"),
+                    F.transform("vs", lambda x: x["v"]).alias("vs"), "take"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
@@ -139,48 +157,99 @@ def _to_hubs(rows: DataFrame) -> DataFrame:
     same set size, or of the next size: the one most like the others, and one
     by an order that all lists share, so that lists with the same members have
     the same hubs."""
-    hubs = durable(rows.groupBy("v", "band").agg(F.min_by("node", -F.col("weight")).alias("first"), F.min_by("node", F.xxhash64("node")).alias("second")))
-    meets = rows.select("v", "node", "band").union(rows.select("v", "node", (F.col("band") + 1).alias("band")))
-    return meets.join(hubs, ["v", "band"]).select("node", F.explode(F.array_distinct(F.array("first", "second"))).alias("hub")).where("hub <> node")
+    own = F.struct("node", "m", "least", *PLACES)
+    hubs = durable(rows.groupBy("v", "band").agg(F.min_by(own, -F.col("weight")).alias("first"), F.min_by(own, F.xxhash64("node")).alias("second")))
+    members = rows.select("v", "band", own.alias("x"))
+    meets = members.union(members.withColumn("band", F.col("band") + 1))
+    return (meets.join(hubs, ["v", "band"]).select("x", F.explode(F.array_distinct(F.array("first", "second"))).alias("y"))
+            .where("x.node <> y.node").where(_may_share("x", "y")).select(F.col("x.node").alias("node"), F.col("y.node").alias("hub")))
 
 
 def similar_links(reps: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int] = (4, 5), k: int = K) -> DataFrame:
     """``reps(node, n, sketch)`` -> ``node, component``: the components of the
     classes under the similarity, for classes with a link."""
     num, den = threshold
-    lists = durable(_prefix_lists(reps, k))
+    lists = written(_prefix_lists(reps, k))
     reps = durable(reps.join(lists.select("node"), "node", "left_semi"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
-    rows = durable(lists.select("node", band.alias("band"), "weight", F.explode(F.expr("slice(vs, 1, take)")).alias("v")))
+    rows = lists.select("node", band.alias("band"), "n", "m", "least", "weight", *PLACES, F.posexplode(F.expr("slice(vs, 1, take)")).alias("place", "v"))
+    rows = written(rows)
     pairs = durable(_ordered(_to_hubs(rows), "node", "hub"))
     links = durable(verify(durable(_candidates(pairs, reps, k, threshold)), docs, shingle, threshold))
     member = connected_components(links)
 
-    left = rows.select("v", "node").join(member, "node", "left").select("v", "node", F.coalesce("component", "node").alias("component"))
-    left = durable(left)
+    left = rows.drop("band", "weight").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = durable(left.groupBy("v").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v", "c"))
-    left = durable(left.join(mixed, "v"))
-    placed, meets = _blocks(left.where(F.col("c") > LIST).drop("c"))
-    near = durable(_near_in_blocks(placed, meets, reps, threshold))
-    more = _ordered(_across(left.where(F.col("c") <= LIST)).union(near.where("a is not null").select("a", "b")), "a", "b").join(pairs, ["a", "b"], "left_anti")
-    more = verify(durable(_candidates(durable(more), reps, k, threshold)), docs, shingle, threshold)
-    full = near.where("a is null").select("meet").join(meets, "meet").select("v", "own", "part")
-    full = durable(placed.join(full, ["v", "own", "part"]).select("v", "node", "component").distinct())
-    dense = _within(full, docs, shingle, threshold)
-    return connected_components(links.union(durable(more)).union(durable(dense)))
-
-
-def _across(rows: DataFrame) -> DataFrame:
+    near = _ordered(_across(left.join(mixed.where(F.col("c") <= LIST).select("v"), "v"), threshold), "a", "b").join(pairs, ["a", "b"], "left_anti")
+    more = durable(verify(durable(_candidates(durable(near), reps, k, threshold)), docs, shingle, threshold))
+    stay = _stay(left.join(mixed.where(F.col("c") > LIST).select("v"), "v").select("v", "node", "component", "least", "place"), lists)
+    rows, full = _by_full_sets(stay, docs, shingle, threshold)
+    full = durable(_ordered(full, "a", "b").join(pairs, ["a", "b"], "left_anti"))
+    links = links.union(more).union(durable(verify(full, docs, shingle, threshold)))
+    return connected_components(links.union(durable(_within(rows, docs, shingle, threshold))))
+
+
+def _across(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of members of different components in the short lists."""
     x, y = rows.alias("x"), rows.alias("y")
-    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
+    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+                   & _alike(F.col("x.n"), F.col("y.n"), threshold) & _may_share("x", "y"))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+
+def _stay(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, component) of the members of long lists that can have a similar
+    one there. Two similar classes meet in the first value that they share; of
+    the values after it they share all but one of those that they must, so
+    each of these is met in the list by classes of two components."""
+    later = durable(rows.join(lists.select("node", "vs"), "node").select("v", "node", "component", "least", F.explode_outer(F.expr("slice(vs, place + 2, size(vs))")).alias("u")))
+    shared = later.groupBy("v", "u").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v", "u", F.lit(1).alias("one"))
+    kept = later.join(shared, ["v", "u"], "left").groupBy("v", "node", "component", "least").agg(F.count("one").alias("held"))
+    return durable(kept.where("held >= least - 1").select("node", "component").distinct())
+
+
+def _by_full_sets(classes: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """``classes(node, component)`` -> the members (v, node, component) of long
+    lists, and pairs (a, b) of different components from the short ones. All
+    that are similar meet in one. With a set's shingles by rarity, two similar
+    sets share one of the first ones of both: of the larger set's ``n`` they
+    have ``t n`` in common, of the smaller one's ``2 t n / (1 + t)``. Shingles
+    of one component only come first and meet nothing. At the first shingle
+    that is shared, what follows in both must hold the rest."""
+    num, den = threshold
+    texts = likely(docs.where("text is not null").select(F.col("doc_id").alias("node"), "text"), "node", classes.select("node")).join(classes, "node")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t.encode() for t in texts_of(batch.column(2))]
+            for i, j in slices(map(len, raw), SLICE_BYTES):
+                sets = [s.astype(np.int64) for s in shingle_sets(raw[i:j], shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sets, pa.list_(pa.int64()))], ["node", "component", "s"])
+
+    sets = written(texts.select("node", "component", "text").mapInArrow(build, "node long, component long, s array<long>").withColumn("key", F.xxhash64("s")).dropDuplicates(["node", "key"]))
+    each = sets.select("node", "key", "component", F.size("s").alias("n"), F.explode("s").alias("s"))
+    live = each.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s", "df")
+    ranked = each.join(live, "s").groupBy("node", "key", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("ss"))
+
+    def first(share: str) -> Column:  # shingles of a prefix that are left beside those of one component
+        return F.expr(f"n - cast(ceil({share}) as int) + 1 - (n - size(ss))")
+    probe, index = first(f"n * {num} / {den}"), first(f"n * {2 * num} / {num + den}")
+    rows = written(ranked.withColumn("index", index).withColumn("gone", F.col("n") - F.size("ss")).withColumn("ss", F.slice("ss", 1, F.greatest(probe, F.lit(0))))
+                   .select("node", "component", "n", "index", "gone", F.posexplode("ss").alias("at", "s"))
+                   .select("node", "component", "n", F.col("s.s").alias("s"), (F.col("n") - F.col("gone") - F.col("at")).alias("rest"), (F.col("at") < F.col("index")).alias("index")))
+    sizes = durable(rows.groupBy("s").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("index").alias("met")).where("lo < hi and met").select("s", "c"))
+    long = durable(rows.join(sizes.where(F.col("c") > FULL_LIST), "s").select(F.col("s").alias("v"), "node", "component"))
+    short = rows.join(sizes.where(F.col("c") <= FULL_LIST).select("s"), "s")
+    x, y = short.alias("x"), short.where("index").alias("y")
+    return long, (x.join(y, F.expr(f"""x.s = y.s and x.component <> y.component and y.n <= x.n and {den} * y.n >= {num} * x.n
+                                 and {num + den} * least(x.rest, y.rest) >= {num} * (x.n + y.n)"""))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
 def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Long lists in blocks of about ``BLOCK`` members: (the members with their
+    """Families in blocks of about ``BLOCK`` members: (the members with their
     block, the pairs of blocks that meet). A component with many members in a
-    list has blocks of its own, which are not held against each other."""
+    family has blocks of its own, which are not held against each other."""
     sizes = durable(rows.groupBy("v", "component").agg(F.count("*").alias("m")))
     large = F.col("m") > BLOCK // 4
     totals = durable(sizes.groupBy("v").agg(F.sum(F.when(large, 0).otherwise(F.col("m"))).alias("others")))
@@ -193,28 +262,6 @@ def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, durable(meets.select("meet", "v", F.explode(F.array_distinct(F.array("x", "y"))).alias("at")).select("meet", "v", "at.own", "at.part"))
 
 
-def _near_in_blocks(placed: DataFrame, meets: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of different components in meeting blocks whose sketches
-    share enough; where these are many, the number of the meeting instead."""
-    num, den = threshold
-    rows = (placed.join(reps, "node").join(meets, ["v", "own", "part"]).select("meet", "node", "component", "n", "sketch"))
-
-    def look(block: pd.DataFrame) -> pd.DataFrame:
-        sketches = [np.asarray(s, np.int64).astype(np.uint64) for s in block["sketch"]]
-        node, component, n = (block[c].to_numpy() for c in ("node", "component", "n"))
-        m = np.array([max(1, int(SHARED * len(s))) for s in sketches], np.float32)
-        near = _overlaps(sketches) >= np.minimum(m[:, None], m[None, :])
-        near &= component[:, None] < component[None, :]
-        i, j = np.nonzero(near)
-        alike = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
-        i, j = i[alike], j[alike]
-        if len(i) > DENSE * len(block):
-            return pd.DataFrame({"meet": block["meet"].iloc[:1], "a": [None], "b": [None]})
-        return pd.DataFrame({"meet": block["meet"].iloc[0], "a": node[i], "b": node[j]})
-
-    return rows.groupBy("meet").applyInPandas(look, "meet long, a long, b long")
-
-
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of a block's sets."""
     n = len(sets)
@@ -244,10 +291,10 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _within(rows: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links between members of different components in lists with very many
-    candidates, found from the full sets. Lists that share members are one
-    family, so a text is sent for its family and not for each of its lists;
-    only links leave a block, never the pairs looked at."""
+    """Links between members of different components in the long lists of full
+    sets. Lists that share members are one family, so a text is sent for its
+    family and not for each of its lists; only links leave a block, never the
+    pairs looked at."""
     num, den = threshold
     lists = rows.select(F.col("node").alias("a"), (-1 - F.abs(F.xxhash64("v") % (1 << 62))).alias("b"))  # lists as negative nodes
     family = connected_components(lists).withColumnRenamed("component", "v")
