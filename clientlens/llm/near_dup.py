@@ -48,6 +48,8 @@ LIST, FULL_LIST, BLOCK = 64, 16, 768
 #: In a block: sets up to which a value's pairs are counted one by one, and
 #: columns of the incidence matrix multiplied at once.
 RARE, COLUMNS = 6, 4096
+#: Bits of the bitmap of values that members of long lists share: 128 KB to 32 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Long numbers whose bits the retained values of a class set.
 PLACES = [f"bits{i}" for i in range(4)]
 
@@ -197,15 +199,40 @@ def _across(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The long numbers in ``keys`` as bits: at the place that the low bits of
+    each give. 16 places for a key and more, from ``LEAST_BITS`` to ``MOST_BITS``."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.col("key"), F.lit(bits))
+    words = (keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) & 63 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def _stay(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """(node, component) of the members of long lists that can have a similar
-    one there. Two similar classes meet in the first value that they share; of
-    the values after it they share all but one of those that they must, so
-    each of these is met in the list by classes of two components."""
-    later = durable(rows.join(lists.select("node", "vs"), "node").select("v", "node", "component", "least", F.explode_outer(F.expr("slice(vs, place + 2, size(vs))")).alias("u")))
-    shared = later.groupBy("v", "u").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("v", "u", F.lit(1).alias("one"))
-    kept = later.join(shared, ["v", "u"], "left").groupBy("v", "node", "component", "least").agg(F.count("one").alias("held"))
-    return durable(kept.where("held >= least - 1").select("node", "component").distinct())
+    one there, and a few more. Two similar classes meet in the first value that
+    they share; of the values after it they share all but one of those that
+    they must, so each of these is met in the list by classes of two
+    components. Which are so met is a bitmap of bounded size; a member with its
+    later values is one row that is held against it."""
+    later = durable(rows.join(lists.select("node", "vs"), "node").select("node", "component", "least", F.expr("transform(slice(vs, place + 2, size(vs)), u -> xxhash64(v, u))").alias("keys")))
+    met = durable(later.select("component", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(met))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bits = batch.column(3), shared.value
+            slot = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(64 * len(bits) - 1)
+            hit = bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)
+            held = np.diff(np.concatenate(([0], np.cumsum(hit.astype(np.int64))))[keys.offsets.to_numpy() - keys.offsets[0].as_py()])
+            yield batch.select([0, 1]).filter(pa.array(held >= batch.column(2).to_numpy() - 1))
+
+    kept = durable(later.mapInArrow(hold, "node long, component long").distinct())
+    shared.destroy()
+    return kept
 
 
 def _by_full_sets(classes: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:

@@ -47,3 +47,20 @@ def test_strangers_of_a_hot_pair_do_not_stay_in_its_list(spark):
     lists = spark.createDataFrame([(i, [1, 2, 100 + i, 200 + i, 300 + i]) for i in range(90)] + [(i, [1, 2, 3, 4, 5]) for i in range(90, 93)], "node long, vs array<long>")
     rows = lists.selectExpr("1L as v", "node", "node as component", "3 as least", "0 as place")
     assert sorted(r.node for r in near_dup._stay(rows, lists).collect()) == [90, 91, 92]
+
+
+def test_members_of_long_lists_are_one_row_each(spark, monkeypatch):
+    made = []
+    durable = near_dup.durable
+
+    def counted(df):
+        out = durable(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "durable", counted)
+    values = list(range(2, 30))
+    lists = spark.createDataFrame([(i, [1, *values]) for i in range(80)] + [(90, [1])], "node long, vs array<long>")
+    rows = lists.selectExpr("1L as v", "node", "node as component", "if(node = 90, 1, 12) as least", "0 as place")
+    assert near_dup._stay(rows, lists).count() == 81
+    assert max(made) <= 81  # not one for each later value
