@@ -452,7 +452,7 @@ def test_preferences_run_no_python(spark):
 def test_sql_gives_the_same_rows(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     plain = con.execute(catalog.ORACLE[name])
     names = [d[0] for d in plain.description]
@@ -461,7 +461,7 @@ def test_sql_gives_the_same_rows(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(catalog.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(catalog.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path, awkward, nothing):
