@@ -259,6 +259,25 @@ class Client360:
             (F.col("inflow_usd") - F.col("outflow_usd")).alias("net_new_money_usd"),
             "inflow_usd", "outflow_usd")
 
+    def client_activity(self, recent_from) -> DataFrame:
+        """Per client: ``n_txns`` order lines, the net flow ``recent`` of the
+        months from ``recent_from`` (a date Column) on, and all in- and outflow
+        (``fin``, ``fout``): the sums of ``transactions`` and ``client_flows``.
+
+        One join of lines and orders gives all of them, and its rows are added
+        up by client at once: no row per client and month is made.
+        """
+        d = self.data
+        zero = F.lit(0).cast(MONEY)
+        side = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0).cast("byte")
+        li = d.lineitem.select("l_orderkey", F.col("l_extendedprice").cast(MONEY).alias("amt"), side.alias("side"),
+                               (F.trunc(F.to_date("l_shipdate"), "MM") >= recent_from).alias("is_recent"))
+        o = d.orders.select("o_orderkey", "o_custkey")
+        into, out = (F.when(F.col("side") == i, F.col("amt")).otherwise(zero) for i in (1, 2))
+        return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("client_key"))
+                .agg(F.count("*").alias("n_txns"), F.sum(F.when(F.col("is_recent"), into - out).otherwise(zero)).alias("recent"),
+                     F.sum(into).alias("fin"), F.sum(out).alias("fout")))
+
     # -- market time series ----------------------------------------------------------
     def ts_monthly(self, metric: str = "aum") -> DataFrame:
         """Monthly marts: (month, division, region, value) in USD bn-like units.
