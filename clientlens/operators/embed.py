@@ -49,12 +49,13 @@ def chunk(df: DataFrame, text_col: str, size: int = 200, overlap: int = 40, id_c
     words = F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")
     # Chunk strings are built inside the row (total size ≈ text × size/step,
     # linear in the text), then exploded: no exploded row carries the whole
-    # word array.
+    # word array. There is always a chunk; posexplode would add a filter for
+    # that to the plan, which splits the whole text again for each chunk.
     chunks = F.expr(
         f"transform(sequence(0, greatest(size(_w) - {overlap} - 1, 0), {step}), "
         f"s -> array_join(slice(_w, s + 1, {size}), ' '))")
     return (df.withColumn("_w", words).withColumn("_chunks", chunks).drop("_w")
-            .select("*", F.posexplode("_chunks").alias("chunk_no", "chunk_text")).drop("_chunks")
+            .select("*", F.posexplode_outer("_chunks").alias("chunk_no", "chunk_text")).drop("_chunks")
             .withColumn("chunk_id", F.when((F.col("chunk_no") < 10_000_000) & F.col(id_col).cast("long").between(0, 900_000_000_000),
                                            F.col(id_col).cast("long") * 10_000_000 + F.col("chunk_no"))
                         .otherwise(F.raise_error(F.lit("chunk_id does not fit: id or chunk number too large")).cast("long"))))
