@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,9 +140,12 @@ class CellIndex:
                 .persist(StorageLevel.MEMORY_AND_DISK))
         self._persisted = [unit]
         train = unit if not train_fraction else unit.sample(fraction=train_fraction, seed=seed)
-        model = KMeans(k=n_cells, seed=seed, featuresCol="uvec", maxIter=20).fit(train)
+        if n_cells == 1:  # KMeans takes two or more
+            centers = [train.select(Summarizer.mean(F.col("uvec"))).first()[0].toArray()]
+        else:
+            centers = KMeans(k=n_cells, seed=seed, featuresCol="uvec", maxIter=20).fit(train).clusterCenters()
         b = unit.select("id", "vec")
-        cents = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+        cents = np.array([np.asarray(c, dtype=np.float64) for c in centers])
         self.dim = cents.shape[1]
         self.centroids = cents
         self._bc = self.spark.sparkContext.broadcast(cents)
